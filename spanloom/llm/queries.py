@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import near_duplicates
+from spanloom.llm import near_duplicates, set_pairs
+from spanloom.llm.common import list_values
 from spanloom.plans.registry import Registry
 from spanloom.runtime import table
 
@@ -39,3 +40,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of readmes or descriptions that share at least 0.6 of their adjacent word pairs."""
     out = near_duplicates.near_duplicate_pairs(_texts(spark, d), 0.6, 12)
     return _named(out, ["readme", "description"]).select("field", F.col("key_a").alias("readme_a"), F.col("key_b").alias("readme_b"))
+
+
+def _items(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    """(field, key, items) of repositories: one row a record and list column; the keys of map columns."""
+    t = table(spark, d, "repositories")
+    kinds = dict(t.dtypes)
+    value = lambda c: list_values(F.map_keys(c) if kinds[c].startswith("map") else F.col(c))
+    both = F.array(*(F.struct(F.lit(i).alias("field"), value(c).alias("items")) for i, c in enumerate(columns)))
+    flat = t.select(F.col("repo_id").alias("key"), F.explode(both).alias("v")).select("v.field", "key", "v.items").where(F.size("items") > 0)
+    # Deliveries of a record are alike but for the time of arrival.
+    return flat.groupBy("field", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def _items_sql(*columns: tuple[str, str]) -> str:
+    one = "select distinct '{c}' as field, repo_id as id, trim(lower(v)) as x from (select repo_id, unnest({e}) as v from repositories) where trim(lower(v)) <> ''"
+    return " union all ".join(one.format(c=c, e=e) for c, e in columns)
+
+
+@R.add("p3_found", f"""with s as ({_items_sql(('git_topics', 'git_topics'), ('npm_dependencies', 'map_keys(npm_dependencies)'))}),
+n as (select field, id, count(*) as n from s group by field, id having count(*) >= 5),
+p as (select x.field, x.id as a, y.id as b, count(*) as c from s x join s y on x.field = y.field and x.x = y.x and x.id < y.id group by all)
+select p.field, a as repo_a, b as repo_b from p join n x on x.field = p.field and x.id = a join n y on y.field = p.field and y.id = b
+where c >= 0.7 * (x.n + y.n - c)""")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records whose topics or dependencies overlap by at least 0.7."""
+    out = set_pairs.similar_pairs(_items(spark, d, ["git_topics", "npm_dependencies"]), 0.7, 5)
+    return _named(out, ["git_topics", "npm_dependencies"]).select("field", F.col("key_a").alias("repo_a"), F.col("key_b").alias("repo_b"))
