@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import near_duplicates, set_pairs
+from spanloom.llm import near_duplicates, set_pairs, vector_neighbours
 from spanloom.llm.common import list_values
 from spanloom.plans.registry import Registry
 from spanloom.runtime import table
@@ -67,3 +67,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records whose topics or dependencies overlap by at least 0.7."""
     out = set_pairs.similar_pairs(_items(spark, d, ["git_topics", "npm_dependencies"]), 0.7, 5)
     return _named(out, ["git_topics", "npm_dependencies"]).select("field", F.col("key_a").alias("repo_a"), F.col("key_b").alias("repo_b"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vector_neighbours.valid_vectors(table(spark, d, "ent_embeddings"), "ent_id", "vec", 100)
+
+
+@R.add("p4_found", """with v as (select ent_id, any_value(vec) as vec from ent_embeddings where len(vec) = 100
+    and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0 group by ent_id),
+u as (select ent_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) as vec from v),
+p as (select x.ent_id as a, y.ent_id as b, list_dot_product(x.vec, y.vec) as c from u x join u y on x.ent_id <> y.ent_id),
+r as (select a, b, c, row_number() over (partition by a order by c desc, b) as r from p where c >= 0.8)
+select distinct least(a, b) as ent_a, greatest(a, b) as ent_b from r where r <= 5""")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with cosine of at least 0.8 of which one is among the other's five most similar."""
+    out = vector_neighbours.nearest(_vectors(spark, d), 100, 5, 0.8)
+    return out.select(F.least("id", "other").alias("ent_a"), F.greatest("id", "other").alias("ent_b")).distinct()
