@@ -1,12 +1,12 @@
 """Near-duplicate records by universe partitioning and the pigeonhole principle; exact.
 
 A record is the set of its adjacent word pairs. Two sets of a and b values with Jaccard similarity >= t differ in
-at most H = (1 - t) / (1 + t) * (a + b) values. Sets are put in bands by size. For every pair of bands that can
-hold similar sets, the universe of values is hashed into m segments; then, for any choice of a tolerance of -1
-(skip), 0 or 1 differing values for each segment whose sum of (tolerance + 1) exceeds H, two similar sets meet in a
-segment within its tolerance. The smaller set indexes its segments and what is left of each after deleting one
-value; the larger set picks the tolerances with the least cost, i.e. with the least entries to be met, which it
-reads from an array of counts of all index entries.
+at most H = (1 - t) / (1 + t) * (a + b) values. Sets are put in bands by size, and for each band the universe of
+values is hashed into m segments. For any choice of a tolerance of -1 (skip), 0 or 1 differing values for each
+segment whose sum of (tolerance + 1) exceeds H, two similar sets meet in a segment within its tolerance. The
+smaller set indexes its segments, and what is left of each after deleting one value, once, in its own band; the
+larger set meets its own band and the few below it that can hold similar sets, and in each picks the tolerances
+with the least cost, i.e. with the least entries to be met, read from an array of counts of all index entries.
 
 A segment's subset is named by the sum of its mixed 64-bit values, so a deletion is one subtraction. Every
 candidate pair is verified on the whole sets, after a bitmap bound that never rejects a similar pair.
@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import bitmap, hashed_counts, lists, map_arrow, mix, words
 from spanloom.runtime import spread, stage
 
-_LONGS = 8
+_LONGS = 3  # of the bitmap that index entries carry
 
 
 def bigram_set(text: Column) -> Column:
     """Sorted distinct 64-bit names of the pairs of adjacent words."""
     w = words(text)
-    pair = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, 2147483647), lambda x, y: F.xxhash64(x, y))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    pair = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.xxhash64(x, y))
     return F.array_sort(F.array_distinct(pair))
 
 
@@ -44,19 +45,20 @@ class Plan:
 
     def __init__(self, threshold: float, longest: int, slack: float = 1.3) -> None:
         self.t, self.c = threshold, (1 - threshold) / (1 + threshold)
+        ratio = max(1.1, 1 / threshold)
         edges = [1]
         while edges[-1] <= longest:
-            edges.append(max(edges[-1] + 1, math.ceil(edges[-1] / math.sqrt(threshold))))
+            edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * ratio)))
         self.edges = np.array(edges)  # band k holds sizes edges[k] .. edges[k + 1] - 1
-        # (index band i, probing band j >= i) that can hold similar sets, and the segments of each.
+        # (index band i, meeting band j >= i) that can hold similar sets.
         self.pairs = [
             (i, j) for j in range(len(edges) - 1) for i in range(j + 1) if edges[i + 1] - 1 >= threshold * edges[j] - 1e-9
         ]
-        self.segments = {}
-        for i, j in self.pairs:
-            top = edges[j + 1] - 1
-            h = self.most_apart(np.array([min(top, (edges[i + 1] - 1) / threshold)]), edges[i + 1] - 1)[0]
-            self.segments[i, j] = max(1, math.ceil((h + 1) / 2 * slack))
+        self.segments = []
+        for i in range(len(edges) - 1):
+            top = edges[i + 1] - 1
+            h = self.most_apart(np.array([math.floor(top / threshold + 1e-9)]), top)[0]
+            self.segments.append(max(1, math.ceil((h + 1) / 2 * slack)))
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
@@ -67,10 +69,10 @@ class Plan:
 
 
 class _Cut:
-    """The segments of some records for one pair of bands: arrays over non-empty and empty segments alike."""
+    """The segments of some records by the index band `at_band`: arrays over non-empty and empty segments alike."""
 
-    def __init__(self, plan: Plan, pair: tuple[int, int], field: np.ndarray, tok: np.ndarray, rec: np.ndarray, n: int) -> None:
-        m = plan.segments[pair]
+    def __init__(self, plan: Plan, at_band: int, field: np.ndarray, tok: np.ndarray, rec: np.ndarray, n: int) -> None:
+        m = plan.segments[at_band]
         v = mix(tok, 1)
         seg = (v % np.uint64(m)).astype(np.int64)
         v = mix(v, 2)
@@ -78,7 +80,7 @@ class _Cut:
         self.at = rec * m + seg  # of each value
         total = np.zeros(n * m, np.uint64)
         np.add.at(total, self.at, v)
-        where = np.tile(np.arange(m, dtype=np.uint64), n) + np.uint64(pair[0] << 44) + np.uint64(pair[1] << 32)
+        where = np.tile(np.arange(m, dtype=np.uint64), n) + np.uint64(at_band << 40)
         self.salt = mix(where + (np.repeat(field.astype(np.uint64), m) << np.uint64(58)), 3)
         self.size = np.bincount(self.at, minlength=n * m)
         self.full = mix(total ^ self.salt, 4)  # the segment as an index entry of the whole
@@ -93,35 +95,38 @@ def _read(b: pa.RecordBatch):
     return b.column("field").to_numpy(), b.column("id").to_numpy(), tok.astype(np.int64).view(np.uint64), size
 
 
-def _members(plan: Plan, b: pa.RecordBatch, side: int):
-    """For every pair of bands: (pair, record numbers, their cut). side 0: as the smaller set, 1: as the larger."""
+def _members(plan: Plan, b: pa.RecordBatch, index: bool):
+    """(index band, record numbers, their segments): for the index, each set in its own band; else in those it has to meet."""
     field, _, tok, size = _read(b)
     band = plan.band(size)
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    for pair in plan.pairs:
-        pick = np.flatnonzero(band == pair[side])
+    for i, j in plan.pairs:
+        pick = np.flatnonzero(band == j) if not index or i == j else ()
+        if not index and i < j:
+            pick = pick[plan.t * size[pick] <= plan.edges[i + 1] - 1 + 1e-9]
         if len(pick):
             s = size[pick]
             rec = np.repeat(np.arange(len(pick)), s)
             tok_at = np.repeat(first[pick] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())
-            yield pair, pick, _Cut(plan, pair, field[pick], tok[tok_at], rec, len(pick))
+            yield i, pick, _Cut(plan, i, field[pick], tok[tok_at], rec, len(pick))
 
 
 def _index_keys(plan: Plan, b: pa.RecordBatch) -> np.ndarray:
-    return np.concatenate([np.concatenate((c.full, c.less_gone)) for _, _, c in _members(plan, b, 0)] or [np.zeros(0, np.uint64)])
+    return np.concatenate([np.concatenate((c.full, c.less_gone)) for _, _, c in _members(plan, b, True)] or [np.zeros(0, np.uint64)])
 
 
 def _rows(keys: list, recs: list, b: pa.RecordBatch) -> pa.Table | None:
     if not keys:
         return None
-    _, ids, _, size = _read(b)
+    _, ids, tok, size = _read(b)
     rec = np.concatenate(recs)
-    return pa.table({"sig": np.concatenate(keys).view(np.int64), "id": ids[rec], "n": size[rec].astype(np.int32)})
+    bits = bitmap(tok, np.repeat(np.arange(len(size)), size), len(size), _LONGS)[rec]
+    return pa.table({"sig": np.concatenate(keys).view(np.int64), "id": ids[rec], "n": size[rec].astype(np.int32)} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
 
 
 def _index(plan: Plan, b: pa.RecordBatch) -> pa.Table | None:
     keys, recs = [], []
-    for _, pick, c in _members(plan, b, 0):
+    for _, pick, c in _members(plan, b, True):
         keys += [c.full, c.less_gone]
         recs += [np.repeat(pick, c.m), pick[c.at // c.m]]
     return _rows(keys, recs, b)
@@ -134,8 +139,8 @@ def _probe(plan: Plan, counts, b: pa.RecordBatch) -> pa.Table | None:
     cost = lambda k: counts[(k & mask).astype(np.int64)].astype(np.float64)
     _, _, _, size = _read(b)
     keys, recs = [], []
-    for pair, pick, c in _members(plan, b, 1):
-        need = plan.most_apart(size[pick], int(plan.edges[pair[0] + 1]) - 1) + 1
+    for i, pick, c in _members(plan, b, False):
+        need = plan.most_apart(size[pick], int(plan.edges[i + 1]) - 1) + 1
         one = cost(c.full) + 1
         two = one + cost(c.gone) + 1 + np.bincount(c.at, cost(c.less_full) + 1, minlength=c.n * c.m)
         first, second = one, two - one
@@ -155,12 +160,6 @@ def _probe(plan: Plan, counts, b: pa.RecordBatch) -> pa.Table | None:
     return _rows(keys, recs, b)
 
 
-def _bits(b: pa.RecordBatch) -> pa.Table:
-    _, ids, tok, size = _read(b)
-    m = bitmap(tok, np.repeat(np.arange(len(size)), size), len(size), _LONGS)
-    return pa.table({"id": ids, "n": size.astype(np.int32)} | {f"b{i}": m[:, i] for i in range(_LONGS)})
-
-
 def _classes(texts: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
     """texts(field INT, key BIGINT, text) -> members(field, key, id) and sets(field, id, toks), one set per class of equal sets."""
     t = spread(texts.where("text is not null and key is not null"))
@@ -178,7 +177,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int = 20)
     spark = sets.sparkSession
     sets = stage(sets, "sets")
     longest = sets.agg(F.max(F.size("toks"))).first()[0]
-    schema = "sig long, id long, n int"
+    schema = "sig long, id long, n int, " + ", ".join(f"b{i} long" for i in range(_LONGS))
     if longest is None:
         return spark.createDataFrame([], "field int, a long, b long, n_a int, n_b int, common int")
     plan = Plan(threshold, longest)
@@ -187,19 +186,13 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int = 20)
     small = map_arrow(src, partial(_index, plan), schema)
     large = map_arrow(src, partial(_probe, plan, counts), schema)
     x, y = small.alias("x"), large.alias("y")
-    cand = (
+    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(_LONGS)), F.lit(0))
+    near = (
         x.join(y.hint("shuffle_merge"), F.col("x.sig") == F.col("y.sig"))
         .where(f"(x.n < y.n or (x.n = y.n and x.id < y.id)) and x.n >= {threshold} * y.n - 1e-9")
+        .where(apart <= plan.c * (F.col("x.n") + F.col("y.n")) + 1e-9)
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     )
-    bits = map_arrow(src.select("field", "id", "toks"), _bits, "id long, n int, " + ", ".join(f"b{i} long" for i in range(_LONGS)))
-    bits = stage(bits, "bits")
-    side = lambda k: bits.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), *(F.col(f"b{i}").alias(f"{k}{i}") for i in range(_LONGS)))
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(_LONGS)), F.lit(0))
-    near = (
-        cand.join(side("a"), "a").join(side("b"), "b")
-        .where(apart <= plan.c * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b")
-    )
     left = sets.select("field", F.col("id").alias("a"), F.col("toks").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
     full = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
