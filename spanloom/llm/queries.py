@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import near_duplicates, set_pairs, vector_neighbours
-from spanloom.llm.common import list_values
+from spanloom.llm import cooccurrence, near_duplicates, set_pairs, term_frequency, vector_neighbours
+from spanloom.llm.common import list_values, words
 from spanloom.plans.registry import Registry
-from spanloom.runtime import table
+from spanloom.runtime import spread, stage, table
 
 R = Registry()
 
@@ -83,3 +83,61 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with cosine of at least 0.8 of which one is among the other's five most similar."""
     out = vector_neighbours.nearest(_vectors(spark, d), 100, 5, 0.8)
     return out.select(F.least("id", "other").alias("ent_a"), F.greatest("id", "other").alias("ent_b")).distinct()
+
+
+_P5_FIELDS = ["git_topics", "npm_dev_dependencies"]
+_P5_SQL = f"""with s as ({_items_sql(('git_topics', 'git_topics'), ('npm_dev_dependencies', 'map_keys(npm_dev_dependencies)'))}),
+n as (select field, count(distinct id) as n from s group by field), k as (select field, x, count(*) as k from s group by field, x),
+p as (select x.field, x.x as item_a, y.x as item_b, count(*) as n_ab from s x join s y on x.field = y.field and x.id = y.id and x.x < y.x group by all),
+j as (select p.*, a.k as n_a, b.k as n_b, n from p join k a on a.field = p.field and a.x = item_a join k b on b.field = p.field and b.x = item_b join n on n.field = p.field)"""
+
+
+@R.add("p5_found", f"{_P5_SQL} select field, item_a, item_b from j where n_ab >= 4 and n_ab * 500 >= n and n_ab * n >= 3 * n_a * n_b")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of topics or development dependencies that occur together at least three times as often as by chance."""
+    records = stage(spread(_items(spark, d, _P5_FIELDS)), "records")
+    least = records.groupBy("field").agg(F.count("*").alias("n")).select("field", F.greatest(F.lit(4), F.ceil(F.col("n") / 500)).cast("long").alias("least"))
+    out = cooccurrence.significance(cooccurrence.pair_counts(records, least)).where("n_ab * n >= 3 * n_a * n_b")
+    return _named(out, _P5_FIELDS).select("field", "item_a", "item_b")
+
+
+@R.add("p5_pairs", f"""{_P5_SQL}, d as (select *, n_ab::double as ab, n_a::double as a, n_b::double as b, n::double as t from j)
+select field, item_a, item_b, n_ab, round(ab * t / (a * b), 4) as lift, round(greatest(0.0, 2 * (
+    ab * ln(ab) + case when a > ab then (a - ab) * ln(a - ab) else 0 end + case when b > ab then (b - ab) * ln(b - ab) else 0 end
+    + case when t - a - b + ab > 0 then (t - a - b + ab) * ln(t - a - b + ab) else 0 end
+    + t * ln(t) - a * ln(a) - b * ln(b) - case when t > a then (t - a) * ln(t - a) else 0 end - case when t > b then (t - b) * ln(t - b) else 0 end)), 2) as llr from d""")
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with its count, lift and log-likelihood ratio."""
+    out = cooccurrence.items_together(_items(spark, d, _P5_FIELDS))
+    return _named(out, _P5_FIELDS).select("field", "item_a", "item_b", "n_ab", F.round("lift", 4).alias("lift"), F.round("llr", 2).alias("llr"))
+
+
+_P6_SQL = f"""with s as ({_items_sql(('git_topics', 'git_topics'))}), t as (select distinct readme_id as id, readme from readmes where readme is not null),
+w as (select id, unnest({_WORDS.format('readme')}) as x from t),
+f as (select field, x as term, count(*) as occurrences, count(distinct id) as records from (select field, id, x from s union all select 'readme', id, x from w where len(x) >= 2) group by field, x),
+m as (select field, term, occurrences, records, case when records < case field when 'readme' then 3 else 2 end then 'rare'
+    when field = 'readme' and records > 0.4 * (select count(distinct readme_id) from readmes) then 'common'
+    when field = 'git_topics' and records > 0.05 * (select count(distinct repo_id) from repositories) then 'common' end as mark from f)"""
+
+
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    readmes = table(spark, d, "readmes").select("readme_id", "readme")
+    texts = readmes.where("readme is not null").dropDuplicates(["readme_id"])
+    long_words = F.filter(words(F.col("readme")), lambda w: F.length(w) >= 2)
+    topics = _items(spark, d, ["git_topics"]).select("field", F.col("items").alias("terms"))
+    found = term_frequency.term_frequencies(topics.unionByName(texts.select(F.lit(1).alias("field"), long_words.alias("terms"))))
+    repos = table(spark, d, "repositories").agg(F.countDistinct("repo_id").alias("n")).select(F.lit(0).alias("field"), F.lit(2).alias("rare_below"), (0.05 * F.col("n")).alias("common_above"))
+    pages = readmes.agg(F.countDistinct("readme_id").alias("n")).select(F.lit(1).alias("field"), F.lit(3).alias("rare_below"), (0.4 * F.col("n")).alias("common_above"))
+    return _named(term_frequency.mark(found, repos.unionByName(pages)), ["git_topics", "readme"])
+
+
+@R.add("p6_found", f"{_P6_SQL} select field, term, mark from m where mark is not null")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Topics and words that are too rare or too common to search by."""
+    return _p6(spark, d).where("mark is not null").select("field", "term", "mark")
+
+
+@R.add("p6_frequencies", f"{_P6_SQL} select field, term, occurrences, records, mark from m")
+def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and records of every topic and word."""
+    return _p6(spark, d).select("field", "term", "occurrences", "records", "mark")
