@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import cooccurrence, near_duplicates, set_pairs, term_frequency, vector_neighbours
+from spanloom.llm import cooccurrence, leakage, mixing, near_duplicates, set_pairs, term_frequency, vector_neighbours
 from spanloom.llm.common import list_values, words
 from spanloom.plans.registry import Registry
 from spanloom.runtime import spread, stage, table
@@ -141,3 +141,63 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and records of every topic and word."""
     return _p6(spark, d).select("field", "term", "occurrences", "records", "mark")
+
+
+_P7_SQL = f"""with q as (select item_id, {_WORDS.format('query')} as w from verification_samples), t as (select doc_id, {_WORDS.format('text')} as w from documents),
+qw as (select distinct item_id, array_to_string(w[i:i + 9], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 8)) as i from q where len(w) >= 10)),
+tw as (select distinct doc_id, array_to_string(w[i:i + 9], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 8)) as i from t where len(w) >= 10))
+select distinct item_id, doc_id from qw join tw using (g)"""
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "verification_samples").select("item_id", F.col("query").alias("text"))
+    return leakage.leaks(table(spark, d, "documents"), items, 10)
+
+
+@R.add("p7_found", _P7_SQL)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share ten consecutive words with a held-out query."""
+    return _leaks(spark, d).select("item_id", "doc_id")
+
+
+@R.add("p7_passages")
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the number of passages, the longest in words and where it stands in the text."""
+    return _leaks(spark, d)
+
+
+_P8_SQL = """with t as (select doc_id, trim(lower(source)) as src, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as size from documents),
+h as (select src, sum(size)::bigint as available, count(*) as documents from t group by src), j as (
+select m.source, m.target_share, m.max_repeats, coalesce(documents, 0) as documents, coalesce(available, 0) as available,
+(select sum(size) from t) as total from mix_targets m left join h on h.src = trim(lower(m.source)))"""
+
+
+def _mix(spark: SparkSession, d: str, tokenizer: str | None = None) -> mixing.Mix:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = mixing.token_sizes(docs, tokenizer) if tokenizer else docs.withColumn("size", mixing.white_space_size(F.col("text")))
+    return mixing.mix(docs.withColumn("weight", mixing.quality(F.col("text"))), table(spark, d, "mix_targets"))
+
+
+@R.add("p8_found", f"{_P8_SQL} select source from j where available * max_repeats < target_share * total")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Target sources that cannot reach their share."""
+    return _mix(spark, d).report().where("short").select("source")
+
+
+@R.add("p8_budgets", f"""{_P8_SQL} select source, documents, available, floor(target_share * total)::bigint as budget,
+case when available > 0 then floor(least(floor(target_share * total), available * max_repeats) / available)::bigint else 0 end as epochs from j""")
+def p8_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes, budgets and complete epochs of each source."""
+    return _mix(spark, d).report().select("source", "documents", "available", "budget", F.col("epochs").cast("long").alias("epochs"))
+
+
+@R.add("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, sizes in tokens of a public tokenizer."""
+    return _mix(spark, d, "/opt/tokenizers/byte_bpe_50k.json").report()
+
+
+@R.add("p8_selection")
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mix(spark, d).selection()
