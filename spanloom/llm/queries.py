@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import cooccurrence, leakage, mixing, near_duplicates, set_pairs, term_frequency, vector_neighbours
+from spanloom.llm import cooccurrence, leakage, mixing, near_duplicates, set_pairs, term_frequency, truncation, vector_neighbours
 from spanloom.llm.common import list_values, words
 from spanloom.plans.registry import Registry
 from spanloom.runtime import spread, stage, table
@@ -201,3 +201,16 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
     return _mix(spark, d).selection()
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were cut before their author's ending."""
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+@R.add("p9_sources")
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut documents per source."""
+    docs = table(spark, d, "documents")
+    return truncation.report(docs, truncation.truncated(docs))
