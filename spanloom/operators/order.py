@@ -33,3 +33,16 @@ def keep_first(df: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
     best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("_r"))
     return best.select(*key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def running_sum(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over all rows up to this one in the order of `by`, total over the rows.
+
+    Sums run within sorted range partitions and start from the sums of the partitions before.
+    """
+    raw = df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id())
+    raw = stage(raw, "order")
+    n = raw.groupBy("_p").agg(F.sum(value).alias("_n"))
+    off = n.withColumn("_o", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.sum(value).over(W.partitionBy("_p").orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+    return raw.withColumn("_i", inside).join(F.broadcast(off), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")
