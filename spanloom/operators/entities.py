@@ -53,7 +53,7 @@ def ratio(a: str, b: str) -> int:
     return int(round(100 * SequenceMatcher(None, a, b).ratio())) if a and b else 0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(TP.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float(ratio(x, y)) for x, y in zip(a, b)])
 

@@ -76,13 +76,13 @@ def combined(structured: DataFrame, unstructured: DataFrame, alpha: float, k: in
 def enrich_normalised(terms: DataFrame, similar: DataFrame) -> DataFrame:
     """terms(item_id, term, cnt), similar(term, other, prob) -> (item_id, term, weight).
 
-    A term has weight cnt / total, a similar term cnt * prob / total; total is the sum of cnt and of 1 for every
-    added term. A similar term that is itself a term of the query is not added; one that several bring counts once each.
+    A term has weight cnt / total, a similar term prob / total; total is the sum of cnt and of 1 for every added term. A
+    similar term that is itself a term of the query is not added; one that several bring counts once each.
     """
     add = terms.join(similar, "term").join(terms.select("item_id", F.col("term").alias("other")), ["item_id", "other"], "left_anti")
     total = terms.groupBy("item_id").agg(F.sum("cnt").alias("c")).join(add.groupBy("item_id").agg(F.count("*").alias("a")), "item_id", "left")
     total = total.select("item_id", (F.col("c") + F.coalesce("a", F.lit(0))).alias("total"))
-    parts = terms.select("item_id", "term", F.col("cnt").cast("double").alias("x")).unionByName(add.select("item_id", F.col("other").alias("term"), (F.col("cnt") * F.col("prob")).alias("x")))
+    parts = terms.select("item_id", "term", F.col("cnt").cast("double").alias("x")).unionByName(add.select("item_id", F.col("other").alias("term"), F.col("prob").alias("x")))
     return parts.groupBy("item_id", "term").agg(F.sum("x").alias("x")).join(total, "item_id").select("item_id", "term", (F.col("x") / F.col("total")).alias("weight"))
 
 

@@ -146,7 +146,7 @@ def similar_topics(spark, d):
     return top.join(label.select(F.col("id").alias("a"), F.col("word").alias("term")), "a").join(label.select(F.col("id").alias("b"), F.col("word").alias("other")), "b").select("term", "other", (0.5 + 0.5 * F.col("sim")).alias("prob"))
 
 
-@R.add("enrich_norm", f"""with {_ENRICH_BASE}, ad as (select q.item_id, other, cnt * prob as x from qwords q join sim on sim.term = q.word where not exists (select 1 from qwords z where z.item_id = q.item_id and z.word = sim.other)),
+@R.add("enrich_norm", f"""with {_ENRICH_BASE}, ad as (select q.item_id, other, prob as x from qwords q join sim on sim.term = q.word where not exists (select 1 from qwords z where z.item_id = q.item_id and z.word = sim.other)),
 tot as (select item_id, c + coalesce(a, 0) as total from (select item_id, sum(cnt) as c from qwords group by item_id) left join (select item_id, count(*) as a from ad group by item_id) using (item_id)),
 parts as (select item_id, word as term, cnt::double as x from qwords union all select item_id, other, x from ad) select item_id, term, round(sum(x) / any_value(total), 8) as weight from parts join tot using (item_id) group by item_id, term""")
 def enrich_norm(spark, d):
