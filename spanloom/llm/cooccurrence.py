@@ -92,6 +92,7 @@ def pair_counts(records: DataFrame, least: DataFrame | None = None, segments: in
     has at most `most_kept` rows (there are at most values / least such items); beyond that nothing is left out early.
     """
     spark = records.sparkSession
+    records = records.select("field", F.array_distinct(F.filter("items", lambda x: x.isNotNull())).alias("items")).where("size(items) > 0")
     single = records.select("field", F.explode("items").alias("item")).groupBy("field", "item").agg(F.count("*").alias("k"))
     total = records.groupBy("field").agg(F.count("*").alias("n"))
     keep = None
