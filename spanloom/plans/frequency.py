@@ -141,7 +141,7 @@ def ne_per_file(spark, d):
     return entity_rows(spark, d).groupBy("repo_id", "cat", "ne").agg(F.count("*").alias("cnt"))
 
 
-@R.add("ne_canonicalize", f"""with {_ENT}, f as (select ne as w, count(*) as n from v group by ne), l as (select w, n, {_LEMMA} as lemma from f where w not like 'z%'),
+@R.add("ne_canonicalize", f"""with {_ENT}, f as (select ne as w, count(*) as n from v group by ne), l as (select w, n, {_LEMMA} as lemma from f where n > 1),
 rep as (select w as ne, first_value(w) over (partition by lemma order by n desc, w) as canon from l),
 c as (select ne, cat, count(*) as n from v group by ne, cat), cat as (select ne, cat from c qualify row_number() over (partition by ne order by n desc, cat) = 1)
 select repo_id, canon, cat, count(*) as cnt from (select v.repo_id, coalesce(rep.canon, v.ne) as canon, coalesce(k.cat, v.cat) as cat
@@ -149,7 +149,7 @@ from v left join rep on rep.ne = v.ne left join cat k on k.ne = coalesce(rep.can
 def ne_canonicalize(spark, d):
     """Entities by canonical form and its category, each falling back to what was found (JN4, JN5)."""
     rows = entity_rows(spark, d)
-    known = E.representatives(E.frequency(rows).where("ne not like 'z%'"))
+    known = E.representatives(E.frequency(rows).where("cnt > 1"))
     return E.canonicalize(rows, known, E.category_vote(rows))
 
 

@@ -45,3 +45,9 @@ def spread(df: DataFrame, least: int = 2) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least * n) if df.rdd.getNumPartitions() < n else df
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all staged tables of this package; call it when their results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

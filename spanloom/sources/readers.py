@@ -32,8 +32,9 @@ def pass_lines(spark: SparkSession, path: str, out: str, keep: Column) -> None:
 
 def read_readmes(spark: SparkSession, folder: str) -> DataFrame:
     """(key, text): whole files, the key is the file name without .md."""
-    t = spark.read.option("wholetext", True).text(f"{folder}/*.md")
-    return t.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("key"), F.col("value").alias("text"))
+    t = spark.read.text(f"{folder}/*.md", wholetext=True)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return t.select(F.regexp_replace(name, r"\.md$", "").alias("key"), F.col("value").alias("text"))
 
 
 def _flat(c: Column) -> Column:
