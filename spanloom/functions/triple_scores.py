@@ -20,6 +20,16 @@ def transe(h, r, t, p=1, normalise=True):
     return np.linalg.norm(h + r - t, ord=p, axis=-1)
 
 
+def transe_all(fixed, r, ents, tail: bool):
+    """transe (L1, normalised) of each row's fixed end and relation with every entity: (n, m), without repeating rows."""
+    aim = unit(fixed) + unit(r) if tail else unit(fixed) - unit(r)
+    e = unit(ents)
+    out = np.zeros((len(aim), len(e)))
+    for s in range(0, len(aim), 16):
+        out[s : s + 16] = np.abs(aim[s : s + 16, None, :] - e[None, :, :]).sum(-1)
+    return out
+
+
 def transh(h, r, t, w, p=1, normalise=True):
     """Heads and tails projected off the unit normal w of the relation."""
     w = unit(w)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.order import keep_first, positions
+from spanloom.runtime import stage
 
 # The ids of the twelve edge kinds.
 KINDS = ["BelongToUser", "HasDependence", "HasDevDependence", "HasTopic", "HasKeyword", "SameToNE", "RelateToNE0", "RelateToNE1", "RelateToNE2", "RelateToNE3", "RelateToNE4", "RelateToNE5"]
@@ -100,3 +101,28 @@ def undirected(links: DataFrame) -> DataFrame:
     return links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
 
 
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """links(a, b) of comparable ids -> (node, root): the smallest id of each node's connected component.
+
+    Alternates large-star and small-star steps: every node hands its larger (then its smaller) neighbours to its
+    smallest one. A step is an aggregate and a join on the node; each round is written, so plans stay short and no
+    component is gathered anywhere. Nodes without a link to another node do not come out.
+    """
+    e = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = None
+    for _ in range(max_rounds):
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = stage(large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large")
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        e = stage(small.where("u <> v").distinct(), "small")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        before = now
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

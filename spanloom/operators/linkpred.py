@@ -109,9 +109,12 @@ def _better(shared, score):
                     q = slice(q0, min(n, q0 + 64))
                     m, w = q.stop - q0, len(cid)
                     spread = lambda x: np.repeat(x[q], w, axis=0)
-                    ent = np.tile(e, (m, 1))
-                    for s, (h, t, own) in enumerate(((ent, spread(a["t2"]), ids["h"]), (spread(a["h2"]), ent, ids["t"]))):
-                        got = np.round(score(h, spread(a["r2"]), t), 6).reshape(m, w)
+                    for s, own in enumerate((ids["h"], ids["t"])):
+                        if score is S.transe:
+                            got = np.round(S.transe_all(a["h2" if s else "t2"][q], a["r2"][q], e, bool(s)), 6)
+                        else:
+                            h, t = (spread(a["h2"]), np.tile(e, (m, 1))) if s else (np.tile(e, (m, 1)), spread(a["t2"]))
+                            got = np.round(score(h, spread(a["r2"]), t), 6).reshape(m, w)
                         better = (got < true[q][:, None]) & (cid[None, :] != own[q][:, None])
                         raw[q, s] += better.sum(1)
                         fits = np.stack([of[int(r) * 2 + s] for r in ids["r"][q]])

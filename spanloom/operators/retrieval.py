@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,16 +36,62 @@ def query_weights(queries: DataFrame, terms: Column, idf: DataFrame) -> DataFram
     return w.withColumn("norm", norm).where("norm > 0").select("item_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
 
 
-def top_documents(weights: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def top_documents(weights: DataFrame, queries: DataFrame, k: int = 20, most: int = 4_000_000) -> DataFrame:
     """(item_id, rank, doc_id, score): best k by score rounded to 6 digits, then doc_id; zero scores are no hits.
 
-    A stated set of queries: its terms are far fewer than the postings, so the join is left to Spark's size check.
+    A stated set of queries, with at most `most` weights, goes to the tasks as a matrix; each batch of documents is
+    scored at once and only its best k a query leave the task. Larger sets are joined with the postings instead.
     """
-    s = weights.join(queries, "term").where("w <> 0 and qw <> 0").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     order = W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    q = queries.where("qw <> 0").limit(most + 1).toArrow()
+    if q.num_rows > most:
+        s = weights.join(queries, "term").where("w <> 0 and qw <> 0").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+    else:
+        s = _score_blocks(weights, q, k)
     return s.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
+def _score_blocks(weights: DataFrame, q: pa.Table, k: int) -> DataFrame:
+    terms = pc.unique(q["term"].combine_chunks()) if q.num_rows else pa.array([], pa.string())
+    items = np.unique(q["item_id"].to_numpy())
+    spark = weights.sparkSession
+    names = spark.createDataFrame(pa.table({"term": terms, "t": pa.array(np.arange(len(terms)), pa.int32())}))
+    shared = spark.sparkContext.broadcast((items, np.searchsorted(items, q["item_id"].to_numpy()), pc.index_in(q["term"].combine_chunks(), terms).to_numpy(zero_copy_only=False), q["qw"].to_numpy()))
+    # The terms of a document that some query has; a document is one row, as large as the document at most.
+    docs = weights.where("w <> 0").join(names, "term").groupBy("doc_id").agg(F.collect_list("t").alias("t"), F.collect_list("w").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, qi, qt, qw = shared.value
+        sort = np.argsort(qt, kind="stable")
+        qi, qw = qi[sort], qw[sort]
+        start = np.searchsorted(qt[sort], np.arange(len(terms) + 1))
+        for b in batches:
+            for s0 in range(0, b.num_rows, 512):
+                c = b.slice(s0, 512)
+                n = c.num_rows
+                if not n or not len(items):
+                    continue
+                ids = c.column("doc_id").to_numpy()
+                sizes = np.diff(c.column("t").offsets.to_numpy())
+                row, t, w = np.repeat(np.arange(n), sizes), c.column("t").flatten().to_numpy(), c.column("w").flatten().to_numpy()
+                score = np.zeros((len(items), n))
+                by = np.argsort(t, kind="stable")
+                edge = np.flatnonzero(np.concatenate(([True], t[by][1:] != t[by][:-1]))) if len(t) else np.zeros(0, np.int64)
+                for a, z in zip(edge, np.append(edge[1:], len(t))):
+                    d, x = row[by[a:z]], t[by[a]]
+                    q = slice(start[x], start[x + 1])
+                    score[np.ix_(qi[q], d)] += np.multiply.outer(qw[q], w[by[a:z]])
+                score = np.round(score, 6)
+                keep = score > 0
+                if n > k:
+                    last = np.partition(score, n - k, axis=1)[:, n - k]
+                    keep &= score >= last[:, None]  # ties with the last place stay; the final ranking decides
+                i, j = np.nonzero(keep)
+                yield pa.record_batch({"item_id": items[i], "doc_id": ids[j], "score": score[i, j]})
+
+    return docs.mapInArrow(run, "item_id long, doc_id long, score double")
+
+
 def success_and_reciprocal_rank(ranked: DataFrame, answers: DataFrame, item: str = "item_id", found: str = "answer", k: int = 20) -> DataFrame:
     """One row: queries, success@k, sum and mean of reciprocal ranks; ranked(item, rank, found), answers(item, answer)."""
     hit = ranked.join(answers.withColumnRenamed("answer", "_want"), item).where((F.col(found) == F.col("_want")) & (F.col("rank") <= k))
@@ -52,18 +103,20 @@ def success_and_reciprocal_rank(ranked: DataFrame, answers: DataFrame, item: str
 def structured_scores(terms: DataFrame, edges: DataFrame, vectors: DataFrame, relations: DataFrame) -> DataFrame:
     """terms(item_id, ent, cnt), edges(repo, ent, r), vectors(id, vec), relations(r, vec) -> (item_id, repo, score).
 
-    Score: sum of cnt * cosine01(entity - relation, repository); a missing vector counts as similarity 0.
+    Score: sum of cnt * cosine01(entity - relation, repository); a missing vector counts as similarity 0. The similarity
+    belongs to the edge, so it is computed once for each edge of an entity that is asked for, not once a query.
     """
-    j = terms.join(edges, "ent").join(vectors.select(F.col("id").alias("ent"), F.col("vec").alias("ev")), "ent", "left")
-    j = j.join(vectors.select(F.col("id").alias("repo"), F.col("vec").alias("rv")), "repo", "left").join(F.broadcast(relations.withColumnRenamed("vec", "lv")), "r", "left")
-    return j.groupBy("item_id", "repo").agg(F.sum(F.col("cnt") * V.cosine01(V.subtract(F.col("ev"), F.col("lv")), F.col("rv"))).alias("score"))
+    asked = edges.join(terms.select("ent"), "ent", "left_semi").join(vectors.select(F.col("id").alias("ent"), F.col("vec").alias("ev")), "ent", "left")
+    asked = asked.join(vectors.select(F.col("id").alias("repo"), F.col("vec").alias("rv")), "repo", "left").join(F.broadcast(relations.withColumnRenamed("vec", "lv")), "r", "left")
+    sim = asked.groupBy("ent", "repo").agg(F.sum(V.cosine01(V.subtract(F.col("ev"), F.col("lv")), F.col("rv"))).alias("sim"))
+    return terms.join(sim, "ent").groupBy("item_id", "repo").agg(F.sum(F.col("cnt") * F.col("sim")).alias("score"))
 
 
 def unstructured_scores(words: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFrame:
     """words(item_id, word, cnt), links(repo, word), vectors(name, vec) -> (item_id, repo, score): sum of cnt * cosine01."""
-    j = words.join(links.distinct(), "word").join(vectors.select(F.col("name").alias("word"), F.col("vec").alias("wv")), "word", "left")
-    j = j.join(vectors.select(F.col("name").alias("repo"), F.col("vec").alias("rv")), "repo", "left")
-    return j.groupBy("item_id", "repo").agg(F.sum(F.col("cnt") * V.cosine01(F.col("wv"), F.col("rv"))).alias("score"))
+    asked = links.distinct().join(words.select("word"), "word", "left_semi").join(vectors.select(F.col("name").alias("word"), F.col("vec").alias("wv")), "word", "left")
+    sim = asked.join(vectors.select(F.col("name").alias("repo"), F.col("vec").alias("rv")), "repo", "left").select("word", "repo", V.cosine01(F.col("wv"), F.col("rv")).alias("sim"))
+    return words.join(sim, "word").groupBy("item_id", "repo").agg(F.sum(F.col("cnt") * F.col("sim")).alias("score"))
 
 
 def combined(structured: DataFrame, unstructured: DataFrame, alpha: float, k: int = 20) -> DataFrame:

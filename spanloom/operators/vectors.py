@@ -78,6 +78,23 @@ def _scan(shared, dim: int, least: float | None, top: int | None):
     return run
 
 
+def mean_vectors(df: DataFrame, key: str, column: str, dim: int) -> DataFrame:
+    """(key, vec): element-wise means of an INT key with few values: each batch leaves one sum a key, added up by position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                k, at = np.unique(b.column(key).to_numpy(), return_inverse=True)
+                total = np.zeros((len(k), dim))
+                np.add.at(total, at, b.column(column).flatten().to_numpy().reshape(-1, dim))
+                yield pa.record_batch({"key": k.astype(np.int32), "total": pa.array(list(total), pa.list_(pa.float64())), "n": np.bincount(at).astype(np.int64)})
+
+    sums = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, column).mapInArrow(run, "key int, total array<double>, n long")
+    x = sums.select("key", "n", F.posexplode("total").alias("i", "x")).groupBy("key", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    p = x.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
+    return p.select(F.col("key").alias(key), F.transform("p", lambda v: v["x"]).alias("vec"))
+
+
 def greedy_cliques(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """pairs(a, b, sim) -> (a, rank, b, sim): b by falling sim (ties by id), kept while similar to every b kept before it.
 

@@ -28,10 +28,8 @@ def triples(spark, d):
 
 def relation_vectors(spark, d):
     """(r, vec): the mean of tail - head over the distinct triples of each relation."""
-    v = vectors(spark, d)
-    j = triples(spark, d).join(v.select(F.col("id").alias("h"), F.col("vec").alias("a")), "h").join(v.select(F.col("id").alias("t"), F.col("vec").alias("b")), "t")
-    x = j.select("r", F.posexplode(V.subtract(F.col("b"), F.col("a"))).alias("i", "x")).groupBy("r", "i").agg(F.avg("x").alias("x"))
-    return x.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select("r", F.transform("p", lambda p: p["x"]).alias("vec"))
+    j = _with_ends(spark, d).select("r", V.subtract(F.col("b"), F.col("a")).alias("x"))
+    return O.mean_vectors(j, "r", "x", 100).select("r", "vec")
 
 
 def _with_ends(spark, d):

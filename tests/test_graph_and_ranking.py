@@ -167,3 +167,23 @@ def test_training_losses_fall(spark):
     assert h[-1] < h[0]
     with pytest.raises(ValueError):
         sgd.train_transe(t, 20, 1, most=5)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(20)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    got = [tuple(r) for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0
