@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import bitmap, hashed_counts, lists, map_arrow, mix, words
+from spanloom.operators.graph import components
 from spanloom.runtime import spread, stage
 
 _LONGS = 3  # of the bitmap that index entries carry
@@ -215,3 +216,12 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, least_words:
     ends = ends.join(members.select("field", F.col("id").alias("b"), F.col("key").alias("k2")), ["field", "b"])
     apart = ends.select("field", F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"))
     return same.unionByName(apart)
+
+
+def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, least_words: int = 12) -> DataFrame:
+    """(field, key, group): one row a record that takes part; group is the smallest key of those linked to it, directly or not."""
+    members, links = near_duplicate_classes(texts, threshold, least_words)
+    members = stage(members, "members")
+    roots = components(links.select("a", "b")).withColumnRenamed("node", "id")
+    m = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return m.join(m.groupBy("field", "root").agg(F.min("key").alias("group")), ["field", "root"]).select("field", "key", "group")

@@ -42,6 +42,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _named(out, ["readme", "description"]).select("field", F.col("key_a").alias("readme_a"), F.col("key_b").alias("readme_b"))
 
 
+@R.add("p1_groups", f"""with recursive {_P1[5:].replace(")" + chr(10) + "select p.field, a as readme_a, b as readme_b from p join", ")," + chr(10) + "l as (select p.field, a, b from p join")}),
+e as (select field, a, b from l union select field, b, a from l), m as (select distinct field, id from n),
+c as (select field, id, id as root from m union select c.field, e.b, c.root from c join e on e.field = c.field and e.a = c.id)
+select field, id as readme_id, min(root) as group_id from c group by field, id""")
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each readme and description: one row a record."""
+    out = near_duplicates.near_duplicate_groups(_texts(spark, d), 0.6, 12)
+    return _named(out, ["readme", "description"]).select("field", F.col("key").alias("readme_id"), F.col("group").alias("group_id"))
+
+
 def _items(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     """(field, key, items) of repositories: one row a record and list column; the keys of map columns."""
     t = table(spark, d, "repositories")
@@ -58,17 +68,29 @@ def _items_sql(*columns: tuple[str, str]) -> str:
     return " union all ".join(one.format(c=c, e=e) for c, e in columns)
 
 
-@R.add("p3_found", f"""with s as ({_items_sql(('git_topics', 'git_topics'), ('npm_dependencies', 'map_keys(npm_dependencies)'))}),
+_P3 = f"""with s as ({_items_sql(('git_topics', 'git_topics'), ('npm_dependencies', 'map_keys(npm_dependencies)'))}),
 n as (select field, id, count(*) as n from s group by field, id having count(*) >= 5),
-p as (select x.field, x.id as a, y.id as b, count(*) as c from s x join s y on x.field = y.field and x.x = y.x and x.id < y.id group by all)
-select p.field, a as repo_a, b as repo_b from p join n x on x.field = p.field and x.id = a join n y on y.field = p.field and y.id = b
-where c >= 0.7 * (x.n + y.n - c)""")
+p as (select x.field, x.id as a, y.id as b, count(*) as c from s x join s y on x.field = y.field and x.x = y.x and x.id < y.id group by all),
+f as (select p.field, a as repo_a, b as repo_b from p join n x on x.field = p.field and x.id = a join n y on y.field = p.field and y.id = b
+where c >= 0.7 * (x.n + y.n - c))"""
+
+
+@R.add("p3_found", f"{_P3} select * from f")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records whose topics or dependencies overlap by at least 0.7."""
     out = set_pairs.similar_pairs(_items(spark, d, ["git_topics", "npm_dependencies"]), 0.7, 5)
     return _named(out, ["git_topics", "npm_dependencies"]).select("field", F.col("key_a").alias("repo_a"), F.col("key_b").alias("repo_b"))
 
 
+@R.add("p3_links", f"""{_P3}, g as (select field, id, string_agg(x, chr(1) order by x) as k from s group by field, id having count(*) >= 5)
+select g.field, g.id as repo_id, min(g.id) over (partition by g.field, k) as class_id, count(repo_a) as links
+from g left join (select field, repo_a, repo_b from f union all select field, repo_b, repo_a from f) f on f.field = g.field and f.repo_a = g.id group by g.field, g.id, k""")
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with its class of equal sets and its number of similar records."""
+    out = set_pairs.link_counts(_items(spark, d, ["git_topics", "npm_dependencies"]), 0.7, 5)
+    return _named(out, ["git_topics", "npm_dependencies"]).select("field", F.col("key").alias("repo_id"), F.col("group").alias("class_id"), "links")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return vector_neighbours.valid_vectors(table(spark, d, "ent_embeddings"), "ent_id", "vec", 100)
 

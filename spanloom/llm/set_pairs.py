@@ -136,3 +136,18 @@ def similar_pairs(records: DataFrame, threshold: float, least: int = 5, recall:
     ends = links.select("field", "a", "b").join(members.select("field", F.col("id").alias("a"), F.col("key").alias("k1")), ["field", "a"])
     ends = ends.join(members.select("field", F.col("id").alias("b"), F.col("key").alias("k2")), ["field", "b"])
     return same.unionByName(ends.select("field", F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b")))
+
+
+def link_counts(records: DataFrame, threshold: float, least: int = 5, recall: float = 0.9999) -> DataFrame:
+    """(field, key, group, links): one row a record that takes part, its class of equal sets and the records it is similar to.
+
+    Counted from class sizes, so a class that a third of all records share is never expanded into pairs.
+    """
+    members, sets = record_sets(records, least)
+    members = stage(members, "members")
+    size = stage(members.groupBy("field", "id").agg(F.count("*").alias("size"), F.min("key").alias("group")), "classes")
+    links = stage(similar_sets(sets, threshold, recall).select("a", "b"), "links")
+    both = links.union(links.select("b", "a"))
+    far = both.join(size.select(F.col("id").alias("b"), "size"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("far"))
+    own = size.join(far, "id", "left").select("field", "id", "group", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return members.join(own, ["field", "id"]).select("field", "key", "group", "links")

@@ -166,3 +166,14 @@ def test_words_agree_with_the_definition(spark):
     t = "Ünder_SCORE a1-b2\tİx ſ K9"
     got = spark.createDataFrame([(t,)], "text string").select(N.words(F.col("text")).alias("w")).first()["w"]
     assert got == [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+
+
+def test_groups_and_link_counts(spark):
+    rnd = random.Random(9)
+    w = [f"w{i}" for i in range(30)]
+    rows = [(0, i, " ".join(w[:20] + w[20 : 20 + i]), None) for i in range(6)] + [(0, 10 + i, " ".join(rnd.sample(w, 20)), None) for i in range(5)]
+    got = {r["key"]: r["group"] for r in N.near_duplicate_groups(spark.createDataFrame(rows, TEXT), 0.8).collect()}
+    assert set(got) == {r[1] for r in rows} and all(got[i] == 0 for i in range(6)) and all(got[10 + i] == 10 + i for i in range(5))
+    sets = [(0, i, list("abcde")) for i in range(4)] + [(0, 9, list("abcdef")), (0, 10, list("uvwxyz"))]
+    out = {r["key"]: (r["group"], r["links"]) for r in P.link_counts(spark.createDataFrame(sets, ITEMS), 0.7).collect()}
+    assert out == {0: (0, 4), 1: (0, 4), 2: (0, 4), 3: (0, 4), 9: (9, 4), 10: (10, 0)}
