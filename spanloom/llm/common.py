@@ -36,13 +36,27 @@ def list_values(values: Column) -> Column:
     return F.array_distinct(F.filter(v, lambda x: x.isNotNull() & (x != "")))
 
 
+def pieces(b: pa.RecordBatch, most: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `most` list values (`toks`), or of one row: long records do not pile up in memory."""
+    if "toks" not in b.schema.names:
+        yield b
+        return
+    at = np.cumsum(np.diff(b.column("toks").offsets.to_numpy()))
+    start = 0
+    while start < b.num_rows:
+        base = at[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(at, base + most, side="right")))
+        yield b.slice(start, stop - start)
+        start = stop
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty results give no batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = f(b)
+            for part in pieces(b):
+                out = f(part) if part.num_rows else None
                 if out is not None and out.num_rows:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
@@ -67,8 +81,9 @@ def hashed_counts(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << bits, np.int64)
         for b in batches:
-            if b.num_rows:
-                n += np.bincount((keys_of(b) & mask).astype(np.int64), minlength=1 << bits)
+            for part in pieces(b):
+                if part.num_rows:
+                    n += np.bincount((keys_of(part) & mask).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(n)
         for s in range(0, len(at), 1 << 16):
             i = at[s : s + (1 << 16)]
