@@ -29,9 +29,13 @@ def norm_source(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")
 
 
+# The white space of Unicode.
+WHITE_SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def white_space_size(text: Column) -> Column:
-    """The number of parts between white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")).cast("long")
+    """The number of parts between white space, in the sense of Unicode: a no-break space separates too."""
+    return F.size(F.filter(F.split(text, WHITE_SPACE), lambda x: x != "")).cast("long")
 
 
 def token_sizes(documents: DataFrame, tokenizer_path: str) -> DataFrame:

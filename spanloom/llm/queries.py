@@ -188,7 +188,7 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-_P8_SQL = """with t as (select doc_id, trim(lower(source)) as src, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as size from documents),
+_P8_SQL = f"""with t as (select doc_id, trim(lower(source)) as src, len(list_filter(string_split_regex(text, '{mixing.WHITE_SPACE}'), lambda x: x <> '')) as size from documents),
 h as (select src, sum(size)::bigint as available, count(*) as documents from t group by src), j as (
 select m.source, m.target_share, m.max_repeats, coalesce(documents, 0) as documents, coalesce(available, 0) as available,
 (select sum(size) from t) as total from mix_targets m left join h on h.src = trim(lower(m.source)))"""

@@ -91,7 +91,7 @@ def test_mix_of_nothing(spark):
 
 
 def test_sizes(spark):
-    rows = [(" a  b\tc\n", 3), ("", 0), (None, None), ("x", 1)]
+    rows = [(" a  b\tc\n", 3), ("a\u00a0b\u2003c\u200bd", 3), ("", 0), (None, None), ("x", 1)]
     got = [r[0] for r in spark.createDataFrame([(x,) for x, _ in rows], "t string").select(M.white_space_size(F.col("t"))).collect()]
     assert [g if g != -1 else None for g in got] == [n for _, n in rows]
     d = spark.createDataFrame([(1, "hello world"), (2, None), (3, "<|endoftext|>")], "doc_id long, text string")
