@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanloom.functions import vector as V
+from spanloom.runtime import spread, stage
 
 
 def tfidf_weights(docs: DataFrame, terms: Column) -> tuple[DataFrame, DataFrame]:
@@ -36,60 +37,87 @@ def query_weights(queries: DataFrame, terms: Column, idf: DataFrame) -> DataFram
     return w.withColumn("norm", norm).where("norm > 0").select("item_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
 
 
-def top_documents(weights: DataFrame, queries: DataFrame, k: int = 20, most: int = 4_000_000) -> DataFrame:
-    """(item_id, rank, doc_id, score): best k by score rounded to 6 digits, then doc_id; zero scores are no hits.
+def top_by_join(weights: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score): every query weight joined with the postings of its term."""
+    return weights.join(queries, "term").where("w <> 0 and qw <> 0").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
 
-    A stated set of queries, with at most `most` weights, goes to the tasks as a matrix; each batch of documents is
-    scored at once and only its best k a query leave the task. Larger sets are joined with the postings instead.
+
+def top_documents(docs: DataFrame, terms: Column, queries: DataFrame, query_terms: Column, k: int = 20, most_terms: int = 1_000_000, most_weights: int = 4_000_000) -> DataFrame:
+    """(item_id, rank, doc_id, score): best k by cosine of TF-IDF, rounded to 6 digits, then by doc_id; zero scores are no hits.
+
+    docs(doc_id, ..), one row a document; queries(item_id, ..), a stated set. While the corpus has at most `most_terms`
+    terms and the queries `most_weights` weights (both counted), idf and query weights go to the tasks: one pass counts documents by term,
+    one pass scores whole documents, and only the best k a query and batch are shuffled, never postings.
+    Beyond that, postings are weighted and joined by term.
     """
     order = W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    q = queries.where("qw <> 0").limit(most + 1).toArrow()
-    if q.num_rows > most:
-        s = weights.join(queries, "term").where("w <> 0 and qw <> 0").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+    n = docs.count()
+    df = docs.select("doc_id", F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = stage(df.select("term", F.log2(F.lit(float(n)) / F.col("df")).alias("idf")), "idf")
+    qw = stage(query_weights(queries, query_terms, idf).where("qw <> 0"), "queries")
+    if idf.count() <= most_terms and qw.count() <= most_weights:
+        s = _score_texts(docs.select("doc_id", terms.alias("terms")), idf.toArrow(), qw.toArrow(), k)
     else:
-        s = _score_blocks(weights, q, k)
+        s = top_by_join(tfidf_weights(docs, terms)[0], qw)
     return s.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def _score_blocks(weights: DataFrame, q: pa.Table, k: int) -> DataFrame:
-    terms = pc.unique(q["term"].combine_chunks()) if q.num_rows else pa.array([], pa.string())
+def _score_texts(docs: DataFrame, idf: pa.Table, q: pa.Table, k: int) -> DataFrame:
+    vocabulary = idf["term"].combine_chunks()
     items = np.unique(q["item_id"].to_numpy())
-    spark = weights.sparkSession
-    names = spark.createDataFrame(pa.table({"term": terms, "t": pa.array(np.arange(len(terms)), pa.int32())}))
-    shared = spark.sparkContext.broadcast((items, np.searchsorted(items, q["item_id"].to_numpy()), pc.index_in(q["term"].combine_chunks(), terms).to_numpy(zero_copy_only=False), q["qw"].to_numpy()))
-    # The terms of a document that some query has; a document is one row, as large as the document at most.
-    docs = weights.where("w <> 0").join(names, "term").groupBy("doc_id").agg(F.collect_list("t").alias("t"), F.collect_list("w").alias("w"))
+    at = pc.index_in(q["term"].combine_chunks(), vocabulary).to_numpy(zero_copy_only=False)
+    used = np.unique(at)  # terms of the vocabulary that some query has
+    column = np.full(len(vocabulary), -1)
+    column[used] = np.arange(len(used))
+    weights = (np.searchsorted(items, q["item_id"].to_numpy()), column[at], q["qw"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf["idf"].to_numpy(), items, column, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, qi, qt, qw = shared.value
+        vocabulary, idf, items, column, (qi, qt, qw) = shared.value
+        v = max(1, len(vocabulary))
         sort = np.argsort(qt, kind="stable")
-        qi, qw = qi[sort], qw[sort]
-        start = np.searchsorted(qt[sort], np.arange(len(terms) + 1))
+        qi, qt, qw = qi[sort], qt[sort], qw[sort]
+        width = int(column.max()) + 1 if len(column) else 0
+        start = np.searchsorted(qt, np.arange(width + 1))
+        matrix = None
+        if len(items) * width <= 8_000_000:
+            matrix = np.zeros((len(items), width))
+            matrix[qi, qt] = qw
         for b in batches:
             for s0 in range(0, b.num_rows, 512):
                 c = b.slice(s0, 512)
-                n = c.num_rows
-                if not n or not len(items):
+                if not c.num_rows or not len(items):
                     continue
-                ids = c.column("doc_id").to_numpy()
-                sizes = np.diff(c.column("t").offsets.to_numpy())
-                row, t, w = np.repeat(np.arange(n), sizes), c.column("t").flatten().to_numpy(), c.column("w").flatten().to_numpy()
-                score = np.zeros((len(items), n))
-                by = np.argsort(t, kind="stable")
-                edge = np.flatnonzero(np.concatenate(([True], t[by][1:] != t[by][:-1]))) if len(t) else np.zeros(0, np.int64)
-                for a, z in zip(edge, np.append(edge[1:], len(t))):
-                    d, x = row[by[a:z]], t[by[a]]
-                    q = slice(start[x], start[x + 1])
-                    score[np.ix_(qi[q], d)] += np.multiply.outer(qw[q], w[by[a:z]])
+                ids, t = c.column("doc_id").to_numpy(), c.column("terms")
+                sizes = np.diff(t.offsets.to_numpy())
+                code = pc.index_in(t.flatten(), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+                pair, tf = np.unique(np.repeat(np.arange(len(ids)), sizes) * v + code, return_counts=True)
+                row, code = pair // v, pair % v
+                w = tf * idf[code]
+                norm = np.sqrt(np.bincount(row, w * w, minlength=len(ids)))
+                w = np.divide(w, norm[row], out=np.zeros_like(w), where=norm[row] > 0)
+                col = column[code]
+                row, col, w = row[col >= 0], col[col >= 0], w[col >= 0]
+                if matrix is not None:
+                    dense = np.zeros((width, len(ids)))
+                    dense[col, row] = w
+                    score = matrix @ dense
+                else:
+                    score = np.zeros((len(items), len(ids)))
+                    by = np.argsort(col, kind="stable")
+                    edge = np.flatnonzero(np.concatenate(([True], col[by][1:] != col[by][:-1]))) if len(col) else np.zeros(0, np.int64)
+                    for a, z in zip(edge, np.append(edge[1:], len(col))):
+                        x = slice(start[col[by[a]]], start[col[by[a]] + 1])
+                        score[np.ix_(qi[x], row[by[a:z]])] += np.multiply.outer(qw[x], w[by[a:z]])
                 score = np.round(score, 6)
                 keep = score > 0
-                if n > k:
-                    last = np.partition(score, n - k, axis=1)[:, n - k]
+                if len(ids) > k:
+                    last = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
                     keep &= score >= last[:, None]  # ties with the last place stay; the final ranking decides
                 i, j = np.nonzero(keep)
                 yield pa.record_batch({"item_id": items[i], "doc_id": ids[j], "score": score[i, j]})
 
-    return docs.mapInArrow(run, "item_id long, doc_id long, score double")
+    return spread(docs.where("terms is not null and doc_id is not null")).mapInArrow(run, "item_id long, doc_id long, score double")
 
 
 def success_and_reciprocal_rank(ranked: DataFrame, answers: DataFrame, item: str = "item_id", found: str = "answer", k: int = 20) -> DataFrame:

@@ -30,8 +30,8 @@ def _terms(c):
 
 
 def ranked_documents(spark, d):
-    w, idf = O.tfidf_weights(table(spark, d, "documents").select("doc_id", "text"), _terms("text"))
-    return O.top_documents(w, O.query_weights(table(spark, d, "verification_samples"), _terms("query"), idf), 20)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return O.top_documents(docs, _terms("text"), table(spark, d, "verification_samples"), _terms("query"), 20)
 
 
 @R.add("tfidf_topk", f"with {_TF} select * from top")
@@ -40,6 +40,13 @@ def tfidf_topk(spark, d):
     return ranked_documents(spark, d)
 
 
+@R.add("tfidf_weights", f"with {_TF} select doc_id, term, round(w / norm, 7) as w from dw join dn using (doc_id) where norm > 0")
+def tfidf_weights(spark, d):
+    """The unit-length TF-IDF vectors of the documents, a row a term (AG22)."""
+    w, _ = O.tfidf_weights(table(spark, d, "documents").select("doc_id", "text"), _terms("text"))
+    return w.select("doc_id", "term", F.round("w", 7).alias("w"))
+
+
 @R.add("tfidf_eval", f"with {_TF}, hits as (select t.item_id, t.rank from top t join documents d using (doc_id) join verification_samples v on v.item_id = t.item_id and v.answer = d.repo_key), {_EVAL.format(ranked='hits')}")
 def tfidf_eval(spark, d):
     """success@20 and reciprocal ranks of the repository of the documents found (AG21)."""

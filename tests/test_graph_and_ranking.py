@@ -187,3 +187,14 @@ def test_components(spark, seed):
     got = [tuple(r) for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tfidf_ways_agree(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"t{x}" for x in rng.zipf(1.6, n) % 50)
+    docs = spark.createDataFrame([(i, text(30)) for i in range(120)] + [(900, ""), (901, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, text(6)) for i in range(9)] + [(99, "unseen"), (98, None)], "item_id long, query string")
+    t = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    get = lambda **kw: sorted(tuple(r) for r in O.top_documents(docs, t("text"), q, t("query"), 7, **kw).collect())
+    want = get()
+    assert want and get(most_terms=1) == want
