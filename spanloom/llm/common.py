@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.runtime import stage
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -100,3 +102,15 @@ def bitmap(tokens: np.ndarray, rec: np.ndarray, n: int, longs: int) -> np.ndarra
     bit = (mix(tokens, 77) % np.uint64(64 * longs)).astype(np.int64)
     odd = np.bincount(rec * (64 * longs) + bit, minlength=n * 64 * longs).astype(np.uint8) & 1
     return np.packbits(odd.reshape(n * longs, 64), axis=1, bitorder="little").view(np.int64).reshape(n, longs)
+
+
+def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """records(field INT, key, toks) -> members(field, key, id), sets(field, id, toks), both staged: equal sets are one.
+
+    Sets are told apart by 128 bits of hash; ids are unique numbers given once, when the sets are written. Repeated
+    rows of a record count once.
+    """
+    r = stage(records.withColumn("h", F.xxhash64("field", "toks")).withColumn("g", F.xxhash64("toks", F.lit(9))), "records")
+    sets = stage(r.groupBy("field", "h", "g").agg(F.first("toks").alias("toks")).withColumn("id", F.monotonically_increasing_id()), "sets")
+    members = r.select("field", "key", "h", "g").distinct().join(sets.select("field", "h", "g", "id"), ["field", "h", "g"])
+    return stage(members.select("field", "key", "id"), "members"), sets.select("field", "id", "toks")

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bitmap, hashed_counts, lists, map_arrow, mix, words
+from spanloom.llm.common import bitmap, classes, hashed_counts, lists, map_arrow, mix, words
 from spanloom.operators.graph import components
-from spanloom.runtime import spread, stage
+from spanloom.runtime import spread
 
 _LONGS = 3  # of the bitmap that index entries carry
 
@@ -165,18 +165,15 @@ def _classes(texts: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
     """texts(field INT, key BIGINT, text) -> members(field, key, id) and sets(field, id, toks), one set per class of equal sets."""
     t = spread(texts.where("text is not null and key is not null"))
     t = t.where(F.size(words(F.col("text"))) >= least_words).select("field", "key", bigram_set(F.col("text")).alias("toks"))
-    # Two independent 62-bit names of the set; the first also serves as the id of the class.
-    t = t.withColumn("id", F.xxhash64("field", "toks")).withColumn("id2", F.xxhash64("toks", F.lit(9)))
-    t = stage(t, "sets")
-    members = t.select("field", "key", "id", "id2").distinct()
-    sets = t.groupBy("field", "id", "id2").agg(F.first("toks").alias("toks"))
-    return members.select("field", "key", "id"), sets.select("field", "id", "toks")
+    return classes(t)
 
 
 def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int = 20) -> DataFrame:
-    """sets(field INT, id BIGINT unique, toks sorted distinct non-empty ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common), a < b."""
+    """sets(field INT, id BIGINT unique, toks distinct non-empty ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common).
+
+    sets is read several times: pass a written table, as classes() gives it. a is the smaller set, or has the smaller id.
+    """
     spark = sets.sparkSession
-    sets = stage(sets, "sets")
     longest = sets.agg(F.max(F.size("toks"))).first()[0]
     schema = "sig long, id long, n int, " + ", ".join(f"b{i} long" for i in range(_LONGS))
     if longest is None:
@@ -210,7 +207,6 @@ def near_duplicate_classes(texts: DataFrame, threshold: float = 0.8, least_words
 def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, least_words: int = 12) -> DataFrame:
     """(field, key_a, key_b), key_a < key_b: all pairs of records, those with equal sets included."""
     members, links = near_duplicate_classes(texts, threshold, least_words)
-    members = stage(members, "members")
     same = members.alias("p").join(members.alias("q"), ["field", "id"]).where("p.key < q.key").select("field", F.col("p.key").alias("key_a"), F.col("q.key").alias("key_b"))
     ends = links.select("field", "a", "b").join(members.select("field", F.col("id").alias("a"), F.col("key").alias("k1")), ["field", "a"])
     ends = ends.join(members.select("field", F.col("id").alias("b"), F.col("key").alias("k2")), ["field", "b"])
@@ -221,7 +217,6 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, least_words:
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, least_words: int = 12) -> DataFrame:
     """(field, key, group): one row a record that takes part; group is the smallest key of those linked to it, directly or not."""
     members, links = near_duplicate_classes(texts, threshold, least_words)
-    members = stage(members, "members")
     roots = components(links.select("a", "b")).withColumnRenamed("node", "id")
     m = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     return m.join(m.groupBy("field", "root").agg(F.min("key").alias("group")), ["field", "root"]).select("field", "key", "group")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bitmap, hashed_counts, lists, map_arrow, mix
+from spanloom.llm.common import bitmap, classes, hashed_counts, lists, map_arrow, mix
 from spanloom.runtime import spread, stage
 
 
@@ -86,9 +86,11 @@ def _block_leaves(f: Forest, trees: range, counts, b: pa.RecordBatch) -> pa.Tabl
 
 
 def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.9999, count_bits: int = 20) -> DataFrame:
-    """sets(field INT, id BIGINT unique, toks non-empty distinct ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common), a < b."""
+    """sets(field INT, id BIGINT unique, toks non-empty distinct ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common), a < b.
+
+    sets is read twice: pass a written table, as classes() gives it.
+    """
     spark = sets.sparkSession
-    sets = stage(sets, "sets")
     f = Forest(threshold, recall)
     pending, leaves = spread(sets).select("field", "id", "toks", F.lit(f.need).alias("left")), None
     schema = "leaf long, id long, n int, bits long, field int, left double, toks array<long>"
@@ -120,17 +122,12 @@ def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.9999, coun
 def record_sets(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """records(field INT, key, items distinct ARRAY<STRING>) -> members(field, key, id), sets(field, id, toks): equal sets are one."""
     r = records.where(F.size("items") >= least).select("field", "key", F.array_sort(F.transform("items", lambda x: F.xxhash64(x))).alias("toks"))
-    r = r.withColumn("id", F.xxhash64("field", "toks")).withColumn("id2", F.xxhash64("toks", F.lit(9)))
-    r = stage(spread(r), "records")
-    members = r.select("field", "key", "id").distinct()
-    sets = r.groupBy("field", "id", "id2").agg(F.first("toks").alias("toks")).select("field", "id", "toks")
-    return members, sets
+    return classes(spread(r))
 
 
 def similar_pairs(records: DataFrame, threshold: float, least: int = 5, recall: float = 0.9999) -> DataFrame:
     """(field, key_a, key_b), key_a < key_b, records with equal sets included."""
     members, sets = record_sets(records, least)
-    members = stage(members, "members")
     links = similar_sets(sets, threshold, recall)
     same = members.alias("p").join(members.alias("q"), ["field", "id"]).where("p.key < q.key").select("field", F.col("p.key").alias("key_a"), F.col("q.key").alias("key_b"))
     ends = links.select("field", "a", "b").join(members.select("field", F.col("id").alias("a"), F.col("key").alias("k1")), ["field", "a"])
@@ -144,7 +141,6 @@ def link_counts(records: DataFrame, threshold: float, least: int = 5, recall: fl
     Counted from class sizes, so a class that a third of all records share is never expanded into pairs.
     """
     members, sets = record_sets(records, least)
-    members = stage(members, "members")
     size = stage(members.groupBy("field", "id").agg(F.count("*").alias("size"), F.min("key").alias("group")), "classes")
     links = stage(similar_sets(sets, threshold, recall).select("a", "b"), "links")
     both = links.union(links.select("b", "a"))
