@@ -5,7 +5,7 @@ words joined and enclosed by single spaces, with the items it belongs to. A docu
 its words in the same way and scanned once; a hit is traced back to character offsets of the original text.
 
 The automaton is made of held-out items only. It is built on the driver and broadcast while there are at most
-`most_windows` windows (a few hundred bytes each); more windows are split into that many scans, never cut.
+`most_windows` windows (about 3 KB each as a trie, so 150 MB); more windows are split into that many scans, never cut.
 
 Defined results: null or blank texts and items with fewer than `width` words match nothing; a window that several
 items share counts for each; repeated documents count once an id; empty tables give no rows; extra columns are ignored.
@@ -52,7 +52,7 @@ def windows(items: DataFrame, width: int) -> DataFrame:
     return w.select("item_id", F.explode(run).alias("window")).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
-def leaks(documents: DataFrame, items: DataFrame, width: int = 10, most_windows: int = 500_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, width: int = 10, most_windows: int = 50_000) -> DataFrame:
     """documents(doc_id, text), items(item_id, text) -> (item_id, doc_id, passages, words, start, stop).
 
     passages: maximal runs of shared words; words: of the longest run; start, stop: the offsets of that run in text.

@@ -172,8 +172,7 @@ def _scan(docs: DataFrame, least_words: int) -> DataFrame:
 def prefixes(values: DataFrame, least: int = 24) -> DataFrame:
     """values(value) -> (value): those of at least `least` characters that are strict prefixes of another one."""
     rows = values.where(F.length("value") >= least).distinct()
-    n = max(2, rows.sparkSession.sparkContext.defaultParallelism)
-    ordered = rows.repartitionByRange(n, "value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
+    ordered = rows.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first, part = None, None, None
