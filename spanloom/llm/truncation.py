@@ -35,7 +35,7 @@ _NOTE = re.compile(
     re.I,
 )
 _DOTS = re.compile(r"\s*(?:…|\.\.\.)\s*$")
-_ASIDE = re.compile(r"(?:\.\.\.|…)\s\S(?:(?![.!?]\s)[^\n])*…$")  # an aside between the author's own dots
+_ASIDE = re.compile(r"(?:\.\.\.|…)\s\S(?:(?![.!?]\s)[^\n]){0,48}…$")  # a short aside between the author's own dots
 _END = re.compile(r"[.!?。！？](?:[\"'”’»)\]*_]|\\`)*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])(?:\s+|$)")
 _OPEN = (
