@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from spanloom.functions.text import splice_entity
+
 OUTSIDE = 18
 
 
@@ -52,6 +54,14 @@ def decode(labels: DataFrame) -> DataFrame:
     return island.select("doc_id", F.floor(F.col("head") / 3).cast("int").alias("cat"), "start", stop.alias("stop"))
 
 
+def span_texts(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """spans(doc_id, cat, start, stop), tokens(doc_id, pos, token) -> (doc_id, cat, start, ne): the spliced lower-case text; links are dropped."""
+    j = spans.join(tokens.select("doc_id", "pos", "token"), "doc_id").where("pos between start and stop")
+    t = j.groupBy("doc_id", "cat", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    ne = F.lower(splice_entity(F.transform("t", lambda x: x["token"])))
+    return t.select("doc_id", "cat", "start", ne.alias("ne")).where(~F.col("ne").contains("//") & (F.col("ne") != ""))
+
+
 def pieces_of(token: Column, size: int = 4) -> Column:
     """How many word pieces a token has: a stand-in of `size` characters a piece; pluggable."""
     return F.greatest(F.lit(1), F.ceil(F.length(token) / size)).cast("int")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import spans as S
+from spanloom.operators import entities as E, graph as G, spans as S
+from spanloom.plans.cleaning import _LEMMA
 from spanloom.plans.registry import Registry
-from spanloom.runtime import table
+from spanloom.runtime import stage, table
 
 R = Registry()
 _SENT = "select doc_id, text from documents where regexp_matches(text, '#[0-5]#')"
@@ -89,3 +90,31 @@ def sequence_pad(spark, d):
     l = F.transform("x", lambda x: x["label"])  # noqa: E741
     e = e.withColumn("l", F.slice(l, 1, 32)).withColumn("n", F.size("l"))
     return e.select("doc_id", F.array_join(F.concat("l", F.array_repeat(F.lit(19), 32 - F.col("n"))).cast("array<string>"), ",").alias("labels"), "n")
+
+
+_NE = f"""{_ENC}, {_dec('enc', 'pos', 'dec')}, tx as (select d.doc_id, d.cat, d.start, string_agg(e.token, ' ' order by e.pos) as t from dec d join enc e on e.doc_id = d.doc_id and e.pos between d.start and d.stop group by d.doc_id, d.cat, d.start),
+nes as (select doc_id, cat, start, lower(regexp_replace(t, ' ?([-/.()@]) ?', '\\1', 'g')) as ne from tx where not contains(t, '//'))"""
+
+
+@R.add("entity_spans", f"with {_NE} select doc_id, cat, start, ne from nes where ne <> ''")
+def entity_spans(spark, d):
+    """The entities of the marked sentences: decoded, spliced, lower-cased, links dropped (WN6, FN16, PF12)."""
+    e = encoded(spark, d)
+    return S.span_texts(S.decode(e), e)
+
+
+@R.add("kg_entity_edges", f"""with {_NE}, f as (select ne as w, count(*) as n from nes where ne <> '' group by ne), l as (select w, n, {_LEMMA} as lemma from f where w not like '% %'),
+rep as (select w as ne, first_value(w) over (partition by lemma order by n desc, w) as canon from l),
+c as (select ne, cat, count(*) as n from nes where ne <> '' group by ne, cat), vote as (select ne, cat from c qualify row_number() over (partition by ne order by n desc, cat) = 1),
+x as (select d.repo_key as key, nes.ne, v.cat, coalesce(rep.canon, nes.ne) as canon, k.cat as canon_cat from nes join documents d on d.doc_id = nes.doc_id left join rep on rep.ne = nes.ne join vote v on v.ne = nes.ne join vote k on k.ne = coalesce(rep.canon, nes.ne) where nes.ne <> '')
+select distinct '$NE' || cat || ne as src, '$NE' || canon_cat || canon as dst, 'SameToNE' as kind from x where ne <> canon
+union select '$LIB' || key, '$NE' || cat || ne, 'RelateToNE' || cat from x where key is not null""")
+def kg_entity_edges(spark, d):
+    """Edges from libraries to entities and from entities to their canonical form, categories by vote (GL3, PF13, PF14)."""
+    rows = stage(entity_spans(spark, d).select("doc_id", "ne", "cat"), "entities")
+    canon = E.representatives(E.frequency(rows).where("ne not like '% %'"))
+    vote = E.category_vote(rows).select("ne", "cat")
+    x = rows.select("doc_id", "ne").join(table(spark, d, "documents").select("doc_id", F.col("repo_key").alias("key")), "doc_id").join(vote, "ne")
+    x = x.join(canon, "ne", "left").withColumn("canon", F.coalesce("representative", "ne"))
+    x = x.join(vote.select(F.col("ne").alias("canon"), F.col("cat").alias("canon_cat")), "canon")
+    return G.entity_edges(x)
