@@ -34,6 +34,7 @@ _NOTE = re.compile(
     r"(?:\s*(?:\.\.\.|…))?\s*(?:\[[^\[\]\n]*\b(?:chars?|characters|words|clipped|truncated|cut|continued|more)\b[^\[\]\n]*\]|>*\s*\((?:[^()\n]*\b)?(?:continued|truncated|clipped|cut off|more)\b[^()\n]*\)|(?:read|show|see|view) (?:more|full)|continue reading)\s*$",
     re.I,
 )
+_TAIL = 400  # characters: no mark after a cut is longer; what is matched at the very end is looked for here
 _DOTS = re.compile(r"\s*(?:…|\.\.\.)\s*$")
 _ASIDE = re.compile(r"(?:\.\.\.|…)\s\S(?:(?![.!?]\s)[^\n]){0,48}…$")  # a short aside between the author's own dots
 _END = re.compile(r"[.!?。！？](?:[\"'”’»)\]*_]|\\`)*$")
@@ -47,6 +48,7 @@ _OPEN = (
 _VERSION = re.compile(r"\bv\d+\.(?:\d+\.)?$")
 _SHORT_FORM = re.compile(r"\b(?:e\.g|i\.e|vs|cf|z\.B|p\. ex)\.$", re.I)
 _URL = re.compile(r"(?:https?://|www\.)\S+$")
+_WORD = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _SIGNED = re.compile(r"^\s*(?:--|—|–)\s*\S")
 _LICENCES = re.compile(r"^(?:MIT|ISC|BSD(?:-\d-Clause)?|Apache(?:-2\.0)?|GPL(?:-?v?\d)?|MPL-2\.0|Unlicense|WTFPL|CC0)(?: License)?$", re.I)
@@ -58,30 +60,37 @@ def _stem(word: str) -> str:
     return w[:-1] if w.endswith("s") else w
 
 
+def _enough(text: str, least: int) -> bool:
+    """At least so many words; stops counting there."""
+    return sum(1 for _ in zip(range(least), _WORD.finditer(text))) == least
+
+
 def bare(text: str) -> tuple[str, bool]:
     """The text without blanks and marks after a cut; whether there was a mark other than dots."""
     e = text.rstrip()
-    m = _NOTE.search(e)
+    at = max(0, len(e) - _TAIL)
+    m = _NOTE.search(e[at:])
     if m:
-        return e[: m.start()].rstrip(), True
+        return e[: at + m.start()].rstrip(), True
     return e, False
 
 
 def ending(text: str | None, least_words: int = 4) -> tuple[str, str | None]:
     """(verdict, word): whole, cut, or item / line / signed with the last word to look up."""
-    if text is None or len(re.findall(r"\w+", text)) < least_words:
+    if text is None or not _enough(text, least_words):
         return "whole", None
     e, noted = bare(text)
     if noted or not e:
         return "cut", None
     if e[-1] == "�":
         return "cut", None
-    dots = _DOTS.search(e)
+    tail = e[-_TAIL:]
+    dots = _DOTS.search(tail)
     if dots:
-        if _ASIDE.search(e):
+        if _ASIDE.search(tail):
             return "whole", None
-        e = e[: dots.start()].rstrip()
-        return ("whole" if _END.search(e) or not e else "cut"), None
+        e = e[: len(e) - len(tail) + dots.start()].rstrip()
+        return ("whole" if not e or _END.search(e[-_TAIL:]) else "cut"), None
     lines = e.split("\n")
     fences = [x for x in lines if x.lstrip().startswith(("```", "~~~"))]
     if len(fences) % 2:
@@ -92,33 +101,33 @@ def ending(text: str | None, least_words: int = 4) -> tuple[str, str | None]:
     if last.startswith("|") and any(re.match(r"^\s*\|[\s:|-]*-[\s:|-]*$", x) for x in lines[-12:]):
         rule = bool(re.match(r"^\|[\s:|-]*-[\s:|-]*$", last))
         return ("whole" if last.endswith("|") and not rule else "cut"), None
-    if re.match(r"^#{1,6}(\s|$)", last) and not _END.search(e) or (len(lines) > 1 and re.match(r"^(=+|-{3,})$", last)):
+    if re.match(r"^#{1,6}(\s|$)", last) and not _END.search(tail) or (len(lines) > 1 and re.match(r"^(=+|-{3,})$", last)):
         return "cut", None
     start = max(i for i in range(len(lines)) if i == 0 or not lines[i - 1].strip())
     block = "\n".join(lines[start:])
     if block.count("`") % 2 or any(p.search(last) for p in _OPEN):
         return "cut", None
-    if _VERSION.search(e) or _SHORT_FORM.search(e):
+    if _VERSION.search(tail) or _SHORT_FORM.search(tail):
         return "cut", None
-    if _END.search(e):
+    if _END.search(tail):
         return "whole", None
     if _SIGNED.match(last):
         return "signed", e.split()[-1].lower()
     kind = unicodedata.category(e[-1])
-    if e[-1] == ">" and re.search(r"</?[A-Za-z][^<>]*/?>$", e):
+    if e[-1] == ">" and re.search(r"</?[A-Za-z][^<>]*/?>$", tail):
         return "whole", None
     if kind in ("So", "Sk", "Mn", "Cf", "Co", "Cn") and e[-1] not in "​­":
         return "whole", None
-    if e[-1] in ")]" and re.search(r"(\]\([^()\s]+\)|\([^()]*(\([^()]*\)[^()]*)*\))\]?$", e):
+    if e[-1] in ")]" and re.search(r"(\]\([^()\s]+\)|\([^()]*(\([^()]*\)[^()]*)*\))\]?$", tail):
         return "whole", None
-    if e[-1] in ",;:-=({[<@/_&*#+|\\" or e[-1] in "'\"" and not _END.search(e):
+    if e[-1] in ",;:-=({[<@/_&*#+|\\" or e[-1] in "'\"" and not _END.search(tail):
         return "cut", None
     link = _URL.search(last)
     if link:
         return "link", link.group().lower()
     if _LICENCES.match(last):
         return "whole", None
-    word = re.findall(r"[\w'’-]+", e)[-1:] or [""]
+    word = re.findall(r"[\w'’-]+", tail)[-1:] or [""]
     if _ITEM.match(last):
         before = [x for x in lines[start:-1] if _ITEM.match(x)]
         if before and _END.search(before[-1].rstrip()) or len(last.split()) > 8:
@@ -131,9 +140,10 @@ def inner_ends(text: str | None) -> set[tuple[str, str]]:
     """(kind, word): what ends list items that are followed by more text; all words but those of the last line, for links."""
     out = set()
     if text:
-        lines = text.rstrip().split("\n")[:-1]
+        head = text.rstrip().rpartition("\n")[0]
+        out.update(("link", w) for w in set(_LETTERS.findall(head.lower())))
+        lines = head.split("\n")
         for x in lines:
-            out.update(("link", w) for w in _LETTERS.findall(x.lower()))
             x = x.strip()
             if _ITEM.match(x) and not _END.search(x) and len(x.split()) <= 8:
                 w = re.findall(r"[\w'’-]+", x)
@@ -201,7 +211,8 @@ def _bare_values(docs: DataFrame) -> DataFrame:
             out = []
             for t in b.column("text").to_pylist():
                 e = bare(t)[0]
-                out.append(_DOTS.sub("", e).rstrip() if not _ASIDE.search(e) else e)
+                tail = e[-_TAIL:]
+                out.append(e if _ASIDE.search(tail) else e[: len(e) - len(tail)] + _DOTS.sub("", tail).rstrip())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "value": pa.array(out, pa.string())})
 
     return docs.mapInArrow(run, "doc_id long, value string")
