@@ -39,14 +39,25 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame, least: int = 2) -> DataFrame:
-    """Give a table read from few files one partition per core, so that Python work is shared out.
+    """Give a table read from few files at least one partition per core, so that Python work is shared out.
 
-    A table already in `least` x parallelism partitions or more is left alone: at scale the scan's own splits do.
+    A scan in as many partitions or more is left alone, as at scale; so is a plan with a shuffle, whose number of
+    partitions is known only once it has run.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least * n) if df.rdd.getNumPartitions() < n else df
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys for a grouping that Python work follows: as many partitions as the session's shuffles or
+    twice the cores, not merged into few when the table is small. The grouping needs no further shuffle."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete all staged tables of this package; call it when their results have been written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanloom")
