@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import spread, stage
+from spanloom.runtime import stage
 
 _PAIRS = 4_000_000  # held by a task before they are combined
 
@@ -146,4 +146,4 @@ def significance(pairs: DataFrame) -> DataFrame:
 
 def items_together(records: DataFrame, segments: int = 16) -> DataFrame:
     """All pairs of each field with counts, lift and log-likelihood ratio."""
-    return significance(pair_counts(stage(spread(records), "records"), None, segments))
+    return significance(pair_counts(stage(records, "records"), None, segments))

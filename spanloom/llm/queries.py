@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import cooccurrence, leakage, mixing, near_duplicates, set_pairs, term_frequency, truncation, vector_neighbours
 from spanloom.llm.common import list_values, words
 from spanloom.plans.registry import Registry
-from spanloom.runtime import spread, stage, table
+from spanloom.runtime import by_key, stage, table
 
 R = Registry()
 
@@ -60,7 +60,7 @@ def _items(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     both = F.array(*(F.struct(F.lit(i).alias("field"), value(c).alias("items")) for i, c in enumerate(columns)))
     flat = t.select(F.col("repo_id").alias("key"), F.explode(both).alias("v")).select("v.field", "key", "v.items").where(F.size("items") > 0)
     # Deliveries of a record are alike but for the time of arrival.
-    return flat.groupBy("field", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return by_key(flat, "field", "key").groupBy("field", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def _items_sql(*columns: tuple[str, str]) -> str:
@@ -117,7 +117,7 @@ j as (select p.*, a.k as n_a, b.k as n_b, n from p join k a on a.field = p.field
 @R.add("p5_found", f"{_P5_SQL} select field, item_a, item_b from j where n_ab >= 4 and n_ab * 500 >= n and n_ab * n >= 3 * n_a * n_b")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of topics or development dependencies that occur together at least three times as often as by chance."""
-    records = stage(spread(_items(spark, d, _P5_FIELDS)), "records")
+    records = stage(_items(spark, d, _P5_FIELDS), "records")
     least = records.groupBy("field").agg(F.count("*").alias("n")).select("field", F.greatest(F.lit(4), F.ceil(F.col("n") / 500)).cast("long").alias("least"))
     out = cooccurrence.significance(cooccurrence.pair_counts(records, least)).where("n_ab * n >= 3 * n_a * n_b")
     return _named(out, _P5_FIELDS).select("field", "item_a", "item_b")
@@ -144,7 +144,7 @@ m as (select field, term, occurrences, records, case when records < case field w
 
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     readmes = table(spark, d, "readmes").select("readme_id", "readme")
-    texts = readmes.where("readme is not null").dropDuplicates(["readme_id"])
+    texts = by_key(readmes.where("readme is not null"), "readme_id").dropDuplicates(["readme_id"])
     long_words = F.filter(words(F.col("readme")), lambda w: F.length(w) >= 2)
     topics = _items(spark, d, ["git_topics"]).select("field", F.col("items").alias("terms"))
     found = term_frequency.term_frequencies(topics.unionByName(texts.select(F.lit(1).alias("field"), long_words.alias("terms"))))

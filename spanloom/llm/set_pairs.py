@@ -122,7 +122,7 @@ def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.9999, coun
 def record_sets(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """records(field INT, key, items distinct ARRAY<STRING>) -> members(field, key, id), sets(field, id, toks): equal sets are one."""
     r = records.where(F.size("items") >= least).select("field", "key", F.array_sort(F.transform("items", lambda x: F.xxhash64(x))).alias("toks"))
-    return classes(spread(r))
+    return classes(r)
 
 
 def similar_pairs(records: DataFrame, threshold: float, least: int = 5, recall: float = 0.9999) -> DataFrame:

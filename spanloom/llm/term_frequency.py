@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import spread, stage
+from spanloom.runtime import stage
 
 _SEP = "\x00"
 
@@ -73,7 +73,7 @@ def term_frequencies(records: DataFrame, heavy: int = 4096) -> DataFrame:
     """records(field INT, terms ARRAY<STRING>) -> (field, term, occurrences, records, heavy)."""
     spark = records.sparkSession
     clean = records.where("terms is not null").select("field", F.filter("terms", lambda x: x.isNotNull() & (x != "")).alias("terms"))
-    clean = stage(spread(clean), "terms")
+    clean = stage(clean, "terms")
     table = heavy_terms(clean, heavy)
     shared = spark.sparkContext.broadcast(table)
 

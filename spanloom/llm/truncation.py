@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanloom.runtime import spread, stage
+from spanloom.runtime import by_key, stage
 
 _NOTE = re.compile(
     r"(?:\s*(?:\.\.\.|…))?\s*(?:\[[^\[\]\n]*\b(?:chars?|characters|words|clipped|truncated|cut|continued|more)\b[^\[\]\n]*\]|>*\s*\((?:[^()\n]*\b)?(?:continued|truncated|clipped|cut off|more)\b[^()\n]*\)|(?:read|show|see|view) (?:more|full)|continue reading)\s*$",
@@ -220,7 +220,7 @@ def _bare_values(docs: DataFrame) -> DataFrame:
 
 def truncated(documents: DataFrame, least_words: int = 4, rare_share: float = 0.02) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, reason): ending | longer copy, one row a truncated document."""
-    docs = stage(spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])), "texts")
+    docs = stage(by_key(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     scan = stage(_scan(docs, least_words), "endings")
     known = scan.where("doc_id is null").groupBy("kind", "word").agg(F.sum("n").alias("known"))
     # Signatures and closing links are judged by how many last lines end alike, links also by their depth: a cut leaves a rare ending.
