@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import graph as G, metapath as M
-from spanloom.plans.cleaning import KEY_SQL
+from spanloom.plans.cleaning import KEY_SQL, _FIRST_README
 from spanloom.plans.registry import Registry
 from spanloom.runtime import stage, table
 
@@ -148,6 +148,39 @@ def hin_links(spark, d):
     return hin(spark, d).groupBy("src", "dst").agg(F.count("*").alias("times"))
 
 
+# The whole network of GL5: the words of readmes and of both descriptions, linked with all items of their record.
+_WHOLE = f"""nrec as (select repo_id as id, any_value({KEY_SQL.format(u='git_url')}) as key, any_value(name) as name, any_value(git_topics) as topics, any_value(npm_keywords) as keywords, any_value(npm_domain) as domains,
+any_value(git_description) as descr, any_value(npm_description) as npm from repositories where git_url is not null group by repo_id),
+tok as (select id, x, count(*) as n from (select id, unnest(list_filter(string_split_regex(lower(concat_ws(' ', readme, descr, npm)), '[^a-z0-9]+'), lambda x: x <> '')) as x from nrec left join ({_FIRST_README}) f on f.repo_key = key) group by all),
+item as (select id, ty, replace(x, ' ', '%') as x, count(*) as m from (select id, 'u' as ty, string_split(key, '#')[1] as x from nrec union all select id, 'n', lower(unnest(string_split_regex(name, '-|_'))) from nrec
+union all select id, 't', lower(unnest(topics)) from nrec union all select id, 'k', lower(unnest(keywords)) from nrec union all select id, 'd', lower(unnest(domains)) from nrec) where x is not null and x <> '' group by all),
+known as (select x from (select x, n from tok union all select x, m from item where ty <> 'u') group by x having sum(n) >= 4),
+ends as (select id, ty || ':' || x as node, m from item union all select id, 'r:' || key, 1 from nrec),
+half as (select 'w:' || x as src, node as dst, n * m as c from tok join ends using (id) where x in (select x from known)
+union all select distinct 'w:' || x, ty || ':' || x, 1 from item where ty <> 'u' and x in (select x from known)
+union all select 'r:' || key, ty || ':' || x, m from item join nrec using (id)),
+whole as (select src, dst, sum(c)::bigint as times from (select * from half union all select dst, src, c from half) group by src, dst)"""
+
+
+def whole_network(spark, d):
+    """(src, dst, times) over readmes and both descriptions: words linked with libraries, users, names, topics, keywords, domains (GL5, JN2)."""
+    r = table(spark, d, "repositories").where("git_url is not null").groupBy("repo_id").agg(
+        F.first(T.repo_key(F.col("git_url"))).alias("key"), *(F.first(c).alias(c) for c in ("name", "git_topics", "npm_keywords", "npm_domain", "git_description", "npm_description"))
+    )
+    first = table(spark, d, "readmes").where("readme is not null and repo_key is not null").groupBy(F.col("repo_key").alias("key")).agg(F.min_by("readme", "readme_id").alias("readme"))
+    r = r.join(first, "key", "left")
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "readme", "git_description", "npm_description")), "[^a-z0-9]+"), lambda x: x != "")
+    typed = [("u", F.array(F.split("key", "#")[0])), ("n", F.transform(T.split_name(F.col("name")), lambda x: F.lower(x)))]
+    typed += [(t, F.transform(c, lambda x: F.lower(x))) for t, c in (("t", "git_topics"), ("k", "npm_keywords"), ("d", "npm_domain"))]
+    return M.word_network(r, "key", words, typed, least=4)
+
+
+@R.add("hin_whole_links", f"with {_WHOLE} select src, dst, times from whole")
+def hin_whole_links(spark, d):
+    """The word network over the whole job of GL5; hin_links keeps to the descriptions, as its SQL does."""
+    return whole_network(spark, d)
+
+
 @R.add("hin_recover", f"with {_HIN} select distinct replace(least(src, dst), '%', ' ') as a, replace(greatest(src, dst), '%', ' ') as b from hin where src <> dst")
 def hin_recover(spark, d):
     """Back to a simple graph with plain names (GL6)."""

@@ -44,6 +44,14 @@ def test_walk_counts(spark):
     assert {r["n0"] for r in w} == {"w:1", "w:2"} and all(r["n1"] == "r:1" for r in w)
 
 
+def test_word_network_links_every_word_with_all_items_of_its_record(spark):
+    rec = spark.createDataFrame([("u#a", ["x", "x", "x", "rare"], ["u"], ["x"], ["T b", "T b"])], "key string, words array<string>, user array<string>, name array<string>, topics array<string>")
+    net = M.word_network(rec, "key", F.col("words"), [("u", F.col("user")), ("n", F.col("name")), ("t", F.col("topics"))])
+    got = {(r["src"], r["dst"]): r["times"] for r in net.collect()}
+    want = {("w:x", "r:u#a"): 3, ("w:x", "u:u"): 3, ("w:x", "n:x"): 3 + 1, ("w:x", "t:T%b"): 6, ("r:u#a", "u:u"): 1, ("r:u#a", "n:x"): 1, ("r:u#a", "t:T%b"): 2}
+    assert got == want | {(b, a): n for (a, b), n in want.items()}
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(i,) for i in range(25)], "k long")
     n = lambda x: dict(x.groupBy("part").count().collect())
