@@ -92,15 +92,20 @@ def train_transe(triples: DataFrame, entities: int, relations: int, dim: int = 3
     return p["e"], p["r"], history
 
 
-def train_pairs(pairs: DataFrame, nodes: int, dim: int = 32, rounds: int = 5, rate: float = 0.025, negatives: int = 5, weights: np.ndarray | None = None, most: int = 2_000_000, seed: int = 3) -> tuple[np.ndarray, list[float]]:
+def train_pairs(pairs: DataFrame, nodes: int, dim: int = 32, rounds: int = 5, rate: float = 0.025, negatives: int = 5, weights: np.ndarray | list[tuple[np.ndarray, np.ndarray]] | None = None, most: int = 2_000_000, seed: int = 3) -> tuple[np.ndarray, list[float]]:
     """pairs(u, v) of nodes numbered from 0 that end a walk -> node vectors and the mean log loss of each round.
 
-    Negatives are drawn by `weights` (counts ** 0.75 by convention); the rate falls linearly to 1e-4 at least.
+    Negatives are drawn by `weights` (counts ** 0.75 by convention); a list has the (nodes, weights) of each value of a
+    further column g of the pairs. The rate falls linearly to 1e-4 at least.
     """
     if nodes > most:
         raise ValueError(f"{nodes} nodes; parameters are sent to every task, at most {most}")
     p, history = {"e": initial(nodes, dim, seed)}, []
-    edge = np.cumsum(weights / weights.sum()) if weights is not None and weights.sum() > 0 else None
+    groups = isinstance(weights, list)
+    if groups:
+        edge = [(i, np.cumsum(w / w.sum())) for i, w in weights]
+    else:
+        edge = np.cumsum(weights / weights.sum()) if weights is not None and weights.sum() > 0 else None
     for k in range(rounds):
         shared = pairs.sparkSession.sparkContext.broadcast((p["e"], edge))
         step = max(1e-4, rate * (1 - k / rounds))
@@ -113,7 +118,13 @@ def train_pairs(pairs: DataFrame, nodes: int, dim: int = 32, rounds: int = 5, ra
                 u, v = b.column("u").to_numpy(), b.column("v").to_numpy()
                 for s in range(0, len(u), 256):
                     x, y = u[s : s + 256], v[s : s + 256]
-                    w = draw.integers(0, len(e), (len(x), negatives)) if edge is None else np.minimum(np.searchsorted(edge, draw.random((len(x), negatives))), len(e) - 1)
+                    if groups:
+                        w, g = np.empty((len(x), negatives), np.int64), b.column("g").to_numpy()[s : s + 256]
+                        for k in np.unique(g):
+                            i, c = edge[k]
+                            w[g == k] = i[np.minimum(np.searchsorted(c, draw.random(((g == k).sum(), negatives))), len(i) - 1)]
+                    else:
+                        w = draw.integers(0, len(e), (len(x), negatives)) if edge is None else np.minimum(np.searchsorted(edge, draw.random((len(x), negatives))), len(e) - 1)
                     to = np.concatenate((y[:, None], w), 1)
                     want = np.zeros(to.shape)
                     want[:, 0] = 1
@@ -129,5 +140,5 @@ def train_pairs(pairs: DataFrame, nodes: int, dim: int = 32, rounds: int = 5, ra
                 i = np.array(sorted(seen))
                 yield _out({"e": (i, e[i])}, loss, n)
 
-        history.append(_average(pairs.select("u", "v").mapInArrow(run, _SCHEMA), p))
+        history.append(_average(pairs.select("u", "v", *(["g"] if groups else [])).mapInArrow(run, _SCHEMA), p))
     return p["e"], history

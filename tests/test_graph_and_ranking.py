@@ -44,6 +44,23 @@ def test_walk_counts(spark):
     assert {r["n0"] for r in w} == {"w:1", "w:2"} and all(r["n1"] == "r:1" for r in w)
 
 
+def test_walks_are_shared_by_the_walks_to_the_end(spark):
+    links = [("w:1", "r:1")] * 2 + [("w:2", "r:1"), ("w:2", "r:2")]
+    both = spark.createDataFrame(links + [(b, a) for a, b in links], "src string, dst string")
+    w = M.walks(both, "wrw", 9000).collect()  # to the end: 6 from w:1, 3 + 1 from w:2
+    n = lambda *k: sum(tuple(r[c] for c in ("n0", "n1", "n2")[: len(k)]) == k for r in w)
+    assert len(w) == 9000 and n("w:1") == 5400 and n("w:2") == 3600
+    assert abs(n("w:2", "r:2") - 900) < 150 and abs(n("w:1", "r:1", "w:1") - 3600) < 150
+
+
+def test_negatives_of_pairs_are_drawn_from_their_own_table(spark):
+    pairs = spark.createDataFrame([(0, 1, 0), (2, 3, 1)] * 50, "u long, v long, g int")
+    tables = [(np.array([4]), np.array([1.0])), (np.array([5]), np.array([1.0]))]
+    e, _ = sgd.train_pairs(pairs.coalesce(1), 8, dim=4, rounds=1, rate=0.5, weights=tables)
+    moved = np.abs(e - sgd.initial(8, 4)).sum(1) > 0
+    assert moved.tolist() == [True] * 6 + [False] * 2
+
+
 def test_word_network_links_every_word_with_all_items_of_its_record(spark):
     rec = spark.createDataFrame([("u#a", ["x", "x", "x", "rare"], ["u"], ["x"], ["T b", "T b"])], "key string, words array<string>, user array<string>, name array<string>, topics array<string>")
     net = M.word_network(rec, "key", F.col("words"), [("u", F.col("user")), ("n", F.col("name")), ("t", F.col("topics"))])
