@@ -128,12 +128,16 @@ def success_and_reciprocal_rank(ranked: DataFrame, answers: DataFrame, item: str
     return j.agg(F.count("*").alias("queries"), F.count("rank").alias("success"), F.coalesce(F.sum(1 / F.col("rank")), F.lit(0.0)).alias("rr_sum")).withColumn("mrr", F.col("rr_sum") / F.greatest(F.col("queries"), F.lit(1)))
 
 
-def structured_scores(terms: DataFrame, edges: DataFrame, vectors: DataFrame, relations: DataFrame) -> DataFrame:
+def structured_scores(terms: DataFrame, edges: DataFrame, vectors: DataFrame, relations: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """terms(item_id, ent, cnt), edges(repo, ent, r), vectors(id, vec), relations(r, vec) -> (item_id, repo, score).
 
+    same(ent, other), the SameToNE edges, adds to each asked entity its out-neighbours with the count of the asked one.
     Score: sum of cnt * cosine01(entity - relation, repository); a missing vector counts as similarity 0. The similarity
     belongs to the edge, so it is computed once for each edge of an entity that is asked for, not once a query.
     """
+    if same is not None:
+        also = terms.join(same.select("ent", "other").distinct(), "ent").select("item_id", F.col("other").alias("ent"), "cnt")
+        terms = terms.select("item_id", "ent", "cnt").unionByName(also).groupBy("item_id", "ent").agg(F.sum("cnt").alias("cnt"))
     asked = edges.join(terms.select("ent"), "ent", "left_semi").join(vectors.select(F.col("id").alias("ent"), F.col("vec").alias("ev")), "ent", "left")
     asked = asked.join(vectors.select(F.col("id").alias("repo"), F.col("vec").alias("rv")), "repo", "left").join(F.broadcast(relations.withColumnRenamed("vec", "lv")), "r", "left")
     sim = asked.groupBy("ent", "repo").agg(F.sum(V.cosine01(V.subtract(F.col("ev"), F.col("lv")), F.col("rv"))).alias("sim"))

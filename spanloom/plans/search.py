@@ -79,9 +79,13 @@ def query_entities(spark, d):
     return query_words(spark, d).join(ents, "word").groupBy("item_id", "ent").agg(F.sum("cnt").alias("cnt"))
 
 
+SAME = 4  # SameToNE: the id these triples leave free below RelateToNE (5 .. 10); only edges from asked entities are followed
+
+
 def structured(spark, d):
     edges = triples(spark, d).where("r = 3 or r >= 5").select(F.col("h").alias("repo"), F.col("t").alias("ent"), "r")
-    return O.structured_scores(query_entities(spark, d), edges, stage(vectors(spark, d), "vectors"), relation_vectors(spark, d))
+    same = triples(spark, d).where(F.col("r") == SAME).select(F.col("h").alias("ent"), F.col("t").alias("other"))
+    return O.structured_scores(query_entities(spark, d), edges, stage(vectors(spark, d), "vectors"), relation_vectors(spark, d), same)
 
 
 def unstructured(spark, d):

@@ -69,6 +69,16 @@ def test_word_network_links_every_word_with_all_items_of_its_record(spark):
     assert got == want | {(b, a): n for (a, b), n in want.items()}
 
 
+def test_structured_search_goes_on_to_the_same_entities(spark):
+    terms = spark.createDataFrame([(1, 10, 2)], "item_id long, ent long, cnt long")
+    edges = spark.createDataFrame([(5, 11, 6), (6, 10, 6), (7, 12, 6)], "repo long, ent long, r int")  # 10 -> 11 -> 12
+    vec = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0])], "id long, vec array<double>")
+    rel = spark.createDataFrame([(6, [0.0, 0.0])], "r int, vec array<double>")
+    same = spark.createDataFrame([(10, 11), (10, 11), (11, 12)], "ent long, other long")
+    score = lambda *a: {r["repo"]: round(r["score"], 9) for r in O.structured_scores(terms, edges, vec, rel, *a).collect()}
+    assert score() == {6: 2.0} and score(same) == {5: 2.0, 6: 2.0}
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(i,) for i in range(25)], "k long")
     n = lambda x: dict(x.groupBy("part").count().collect())
