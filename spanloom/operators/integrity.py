@@ -1,8 +1,7 @@
 """References to records that do not exist, as of the time of the referring record.
 
 Direct orphans come from an interval join: for every referenced name, presence over time is reduced to
-intervals with plain aggregates (no per-name sort of all its rows), and a reference falls into at most one
-interval. Inherited orphans come from a fixpoint of semi-joins down the reference graph.
+intervals (removals are counted within days, then over days), and a reference falls into at most one interval. Inherited orphans come from a fixpoint of semi-joins down the reference graph.
 """
 
 from __future__ import annotations
@@ -32,28 +31,19 @@ def presence(parents: DataFrame, removals: DataFrame) -> DataFrame:
     parents(name, at), removals(name, at); names normalised. A creation at the instant of a removal loses.
     Rows with a null name or time do not count. A name has at most 2 x its distinct removals + 1 intervals.
     """
-    p = parents.where("name is not null and at is not null")
-    r = removals.where("name is not null and at is not null").distinct()
-    cut = r.groupBy("name").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
-    # The number of removals at or before a creation at or after which it stands: equal instants count as before the removal.
-    step = (
-        p.groupBy("name", "at").agg(F.lit(1).alias("_")).join(cut, "name", "left")
-        .withColumn("era", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda x: x < F.col("at")))))
-        .groupBy("name", "era").agg(F.min("at").alias("born"))
-    )
-    span = F.transform(
-        "cuts",
-        lambda x, i: F.struct(
-            (i + 1).cast("int").alias("era"), x.alias("since"), F.try_element_at("cuts", i.cast("int") + 2).alias("until")
-        ),
-    )
-    eras = cut.select("name", F.explode(span).alias("e")).select("name", "e.*")
-    all_eras = eras.unionByName(
-        p.select("name").distinct().join(cut, "name", "left").select(
-            "name", F.lit(0).alias("era"), F.lit(None).cast(eras.schema["since"].dataType).alias("since"), F.col("cuts")[0].alias("until")
-        )
-    )
-    j = all_eras.join(step, ["name", "era"], "left")
+    p = parents.where("name is not null and at is not null").select("name", "at", F.lit(0).alias("gone")).distinct()
+    r = removals.where("name is not null and at is not null").select("name", "at", F.lit(1).alias("gone")).distinct()
+    # era: the removals of the name before a creation (one at the same instant comes after it), or up to and with a
+    # removal. Counted within days, then over the days of a name, so that no name's rows are sorted or held in one task.
+    ev = p.unionByName(r).withColumn("day", F.to_date("at"))
+    inside = F.sum("gone").over(W.partitionBy("name", "day").orderBy("at", "gone").rowsBetween(W.unboundedPreceding, 0))
+    days = ev.groupBy("name", "day").agg(F.sum("gone").alias("n"))
+    days = days.select("name", "day", F.coalesce(F.sum("n").over(W.partitionBy("name").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ev = stage(ev.withColumn("inside", inside).join(days, ["name", "day"]).select("name", "at", "gone", (F.col("before") + F.col("inside")).cast("int").alias("era")), "events")
+    step = ev.where("gone = 0").groupBy("name", "era").agg(F.min("at").alias("born"))
+    cut = ev.where("gone = 1").select("name", "era", F.col("at").alias("since"))
+    start = cut.unionByName(p.select("name", F.lit(0).alias("era"), F.lit(None).cast(cut.schema["since"].dataType).alias("since")).distinct())
+    j = start.join(cut.select("name", (F.col("era") - 1).alias("era"), F.col("since").alias("until")), ["name", "era"], "left").join(step, ["name", "era"], "left")
     gone = j.where("era > 0").select("name", F.col("since").alias("start"), F.least("born", "until").alias("stop"), F.lit("deleted").alias("state"))
     # A creation at the very instant of the next removal never stands.
     here = j.where("born is not null and (until is null or born < until)").select("name", F.col("born").alias("start"), F.col("until").alias("stop"), F.lit("present").alias("state"))
@@ -103,6 +93,21 @@ def orphan_cascade(refs: DataFrame, records: DataFrame, direct: DataFrame, max_r
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def orphans(refs: DataFrame, records: DataFrame, removals: DataFrame) -> DataFrame:
+    """refs(id, at, dependency), records(id, name, at), removals(name, at) -> (id, dependency, kind, level): every orphan reference.
+
+    Level 0 are the direct ones with their kind; the cascade adds, with kind inherited, references to names that are
+    themselves orphaned, directly or not, at the level of the name's latest record plus one. Empty tables give no rows.
+    """
+    refs, records = stage(refs, "refs"), stage(records, "records")
+    direct = stage(orphan_references(refs, records.select("name", "at"), removals), "direct")
+    levels = orphan_cascade(refs, records, direct)
+    latest = records.where("name is not null").groupBy("name").agg(F.max_by("id", F.struct("at", "id")).alias("id"))
+    names = latest.join(levels, "id").select(F.col("name").alias("dependency"), (F.col("level") + 1).alias("level"))
+    more = refs.select("id", "dependency").distinct().join(names, "dependency").join(direct.select("id", "dependency"), ["id", "dependency"], "left_anti")
+    return direct.withColumn("level", F.lit(0)).unionByName(more.select("id", "dependency", F.lit("inherited").alias("kind"), "level"))
+
+
 def orphan_report(refs: DataFrame, records: DataFrame, direct: DataFrame, levels: DataFrame) -> DataFrame:
     """Counts per month of the referring record: references and orphan references by kind, records direct and inherited."""
     month = F.date_format("at", "yyyy-MM")

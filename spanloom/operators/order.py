@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,11 +43,21 @@ def keep_first(df: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
 def running_sum(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Adds `name`: the sum of `value` over all rows up to this one in the order of `by`, total over the rows.
 
-    Sums run within sorted range partitions and start from the sums of the partitions before.
+    Sums run within sorted range partitions, a batch at a time, and start from the sums of the partitions before.
     """
-    raw = df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id())
-    raw = stage(raw, "order")
+    raw = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id())
+    whole = df.schema[value].dataType.typeName() in ("long", "integer", "short", "byte")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = 0
+        for b in batches:
+            if b.num_rows:
+                x = np.cumsum(pc.fill_null(b.column(value), 0).to_numpy(zero_copy_only=False).astype(np.int64 if whole else np.float64)) + so_far
+                so_far = x[-1]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x)], [*b.schema.names, "_i"])
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in raw.dtypes) + f", _i {'long' if whole else 'double'}"
+    raw = stage(raw.mapInArrow(run, schema), "order")
     n = raw.groupBy("_p").agg(F.sum(value).alias("_n"))
     off = n.withColumn("_o", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.sum(value).over(W.partitionBy("_p").orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
-    return raw.withColumn("_i", inside).join(F.broadcast(off), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")
+    return raw.join(F.broadcast(off), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")

@@ -38,8 +38,20 @@ def _parts(spark: SparkSession, d: str):
 
 @R.add("p2_found", f"with {_BASE} select repo_id, dependency, kind from direct")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The direct orphan references among those of the cascade."""
     records, refs, gone = _parts(spark, d)
-    return I.orphan_references(refs, records.select("name", "at"), gone).withColumnRenamed("id", "repo_id")
+    return I.orphans(refs, records, gone).where("level = 0").select(F.col("id").alias("repo_id"), "dependency", "kind")
+
+
+@R.add("p2_inherited", f"""with recursive {_BASE},
+latest as (select name, arg_max(repo_id, (crawled_at, repo_id)) as repo_id from (select distinct repo_id, name, crawled_at from rec) where name is not null group by name),
+reach as (select distinct repo_id, 0 as level from direct union select f.repo_id, level + 1 from reach o join latest l on l.repo_id = o.repo_id join refs f on f.dependency = l.name where level < 30),
+lvl as (select repo_id, min(level) as level from reach group by repo_id)
+select f.repo_id, f.dependency, level + 1 as level from refs f join latest l on l.name = f.dependency join lvl on lvl.repo_id = l.repo_id where not exists (select 1 from direct d where d.repo_id = f.repo_id and d.dependency = f.dependency)""")
+def p2_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """References to names that are there but orphaned themselves, with the hops to a direct orphan."""
+    records, refs, gone = _parts(spark, d)
+    return I.orphans(refs, records, gone).where("level > 0").select(F.col("id").alias("repo_id"), "dependency", "level")
 
 
 @R.add("p2_report", f"""with recursive {_BASE},
