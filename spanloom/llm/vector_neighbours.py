@@ -5,8 +5,9 @@ number of vectors, rounded up to a power of two). A vector is represented by the
 pivots and posted in the inverted file of the first `posted` of them, so every row is indexed and every row is a
 query. Within a file, candidates are ranked by the footrule distance between the truncated orders: with weight
 w = length + 1 - rank, footrule = constant - 2 * sum over shared pivots of min(w, w'). The best `rerank` are
-reranked by the exact cosine. A file longer than `cap` is posted by pairs of pivots; one that is still longer is
-compared in cells of at most `cap` rows against each other, so no posting is dropped and no task holds a whole file.
+reranked by the exact cosine. A file longer than `cap` is cut into slices, and every two slices are compared in a cell of
+their own with its own best candidates: no pair of a file is left out, no task holds a whole file, and a small cap finds
+what a large one does. Pivots grow with the square root of the vectors, so files do too.
 
 Defined results: null ids, null vectors, wrong size, NaN or infinity inside and all zeros take no part; repeated rows
 count once; vectors with equal numbers are one class that is searched once and expanded by at most k + 1 of its
@@ -53,8 +54,16 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, np.lexsort((part, -val), axis=1), 1)
 
 
-def _orders(reps: DataFrame, pivots: np.ndarray, length: int, dim: int) -> DataFrame:
-    """(id, order, unit): the nearest pivots, nearest first, and the unit vector."""
+def _bytes(column: pa.ChunkedArray, rows: int, kind) -> np.ndarray:
+    """A binary column whose values have equal lengths, as a matrix."""
+    c = column.combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + rows + 1]
+    return np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind).reshape(rows, -1)
+
+
+def _orders(reps: DataFrame, pivots: np.ndarray, length: int, posted: int, dim: int) -> DataFrame:
+    """(id, head, order, unit): the posted pivots, the numbers of the nearest pivots, nearest first, and the unit vector."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,26 +74,29 @@ def _orders(reps: DataFrame, pivots: np.ndarray, length: int, dim: int) -> DataF
                 if not c.num_rows:
                     continue
                 x = _unit(_matrix(c.column("vec"), dim))
-                order = _top(x @ p, length).astype(np.int32)
+                order = _top(x @ p, length).astype(np.uint16)
+                head = order[:, :posted].astype(np.int32)
                 off = np.arange(c.num_rows + 1, dtype=np.int32)
                 yield pa.record_batch({
                     "id": c.column("id"),
-                    "order": pa.ListArray.from_arrays(off * order.shape[1], order.ravel()),
+                    "head": pa.ListArray.from_arrays(off * head.shape[1], head.ravel()),
+                    "order": pa.array([r.tobytes() for r in order], pa.binary()),
                     "unit": pa.array([r.tobytes() for r in x], pa.binary()),
                 })
 
-    return reps.mapInArrow(run, "id long, order array<int>, unit binary")
+    return reps.mapInArrow(run, "id long, head array<int>, order binary, unit binary")
 
 
 def _search(dim: int, length: int, rerank: int, k: int, least: float | None):
     """One file, or one cell of it: its rows by slice -> (a, b, cos) for every row of the file as the query."""
+    floor = least if least is not None else -1.5
 
     def run(t: pa.Table) -> pa.Table:
-        ids = t["id"].to_numpy()
-        sort = np.argsort(ids, kind="stable")
-        ids = ids[sort]
-        x = np.frombuffer(b"".join(t["unit"].to_pylist()), np.float32).reshape(-1, dim)[sort]
-        order = t["order"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[sort]
+        n = t.num_rows
+        sort = np.argsort(t["id"].to_numpy(), kind="stable")
+        ids = t["id"].to_numpy()[sort]
+        x = _bytes(t["unit"], n, np.float32)[sort]
+        order = _bytes(t["order"], n, np.uint16)[sort]
         part, lo, hi = t["part"].to_numpy()[sort], t["lo"][0].as_py(), t["hi"][0].as_py()
         left = np.flatnonzero(part == lo)
         right = left if lo == hi else np.flatnonzero(part == hi)
@@ -92,69 +104,67 @@ def _search(dim: int, length: int, rerank: int, k: int, least: float | None):
         for q_all, p in [(left, right)] if lo == hi else [(left, right), (right, left)]:
             if not len(p) or not len(q_all):
                 continue
-            # The inverted file of the posted side: for each pivot the rows that hold it and their weights.
-            flat = order[p].ravel()
-            by = np.argsort(flat, kind="stable")
-            piv, start = np.unique(flat[by], return_index=True)
-            stop = np.append(start[1:], len(flat))
-            row, weight = by // order.shape[1], (length - by % order.shape[1]).astype(np.int16)
-            for s in range(0, len(q_all), 512):
-                q = q_all[s : s + 512]
-                score = np.zeros((len(q), len(p)), np.int16)
-                qf = order[q].ravel()
-                qby = np.argsort(qf, kind="stable")
-                qpiv, qstart = np.unique(qf[qby], return_index=True)
-                qstop = np.append(qstart[1:], len(qf))
-                at = np.searchsorted(piv, qpiv)
-                ok = (at < len(piv)) & (piv[np.minimum(at, len(piv) - 1)] == qpiv)
-                for i in np.flatnonzero(ok):
-                    mine = qby[qstart[i] : qstop[i]]
-                    theirs = slice(start[at[i]], stop[at[i]])
-                    w = (length - mine % order.shape[1]).astype(np.int16)
-                    score[np.ix_(mine // order.shape[1], row[theirs])] += np.minimum.outer(w, weight[theirs])
-                score[ids[q][:, None] == ids[p][None, :]] = -1
-                c = _top(score, rerank)
-                cos = np.einsum("qd,qcd->qc", x[q].astype(np.float64), x[p][c].astype(np.float64), optimize=False)
-                cos[np.take_along_axis(score, c, 1) < 0] = -2
-                best = np.lexsort((ids[p][c], -cos), axis=1)[:, :k]
-                val = np.take_along_axis(cos, best, 1)
-                keep = val >= (least if least is not None else -1.5)
-                r, j = np.nonzero(keep)
-                out.append((ids[q][r], ids[p][c[r, best[r, j]]], val[r, j]))
+            # The inverted file of the posted side: for each of its pivots a row of weights, one byte a posted vector.
+            pivots, local = np.unique(order[p], return_inverse=True)
+            local = local.reshape(len(p), -1)
+            weight = np.zeros((len(pivots) + 1, len(p)), np.uint8)
+            weight[local, np.arange(len(p))[:, None]] = length - np.arange(local.shape[1], dtype=np.uint8)
+            at = np.searchsorted(pivots, order[q_all])
+            at = np.where((at < len(pivots)) & (pivots[np.minimum(at, len(pivots) - 1)] == order[q_all]), at, len(pivots))
+            step = max(16, (1 << 21) // max(1, len(p)))
+            many = min(rerank, len(p))
+            for s in range(0, len(q_all), step):
+                q = q_all[s : s + step]
+                score = np.zeros((len(q), len(p)), np.uint8)
+                for rank in range(at.shape[1]):
+                    score += np.minimum(weight[at[s : s + step, rank]], np.uint8(length - rank))
+                if lo == hi:
+                    score[np.arange(len(q)), np.arange(s, s + len(q))] = 0
+                # The best by footrule, then by cosine; all are kept where there are no more than that.
+                if many < len(p):
+                    c = np.argpartition(score, len(p) - many, axis=1)[:, len(p) - many :]
+                else:
+                    c = np.tile(np.arange(len(p)), (len(q), 1))
+                if len(p) <= 4096:
+                    cos = np.take_along_axis(x[q] @ x[p].T, c, 1)
+                else:
+                    cos = np.einsum("qd,qcd->qc", x[q], x[p[c]], optimize=False)
+                cos = np.where(q[:, None] == p[c], -2, cos)
+                few = min(2 * k + 2, many)  # single precision picks a few more than are wanted, double precision decides
+                if few < many:
+                    best = np.argpartition(cos, many - few, axis=1)[:, many - few :]
+                    c, cos = np.take_along_axis(c, best, 1), np.take_along_axis(cos, best, 1)
+                r, j = np.nonzero(cos >= max(floor - 1e-3, -1.5))
+                other = p[c[r, j]]
+                exact = np.einsum("rd,rd->r", x[q[r]].astype(np.float64), x[other].astype(np.float64))
+                keep = exact >= floor
+                r, other, exact = r[keep], other[keep], exact[keep]
+                by = np.lexsort((ids[other], -exact, r))
+                r, other, exact = r[by], other[by], exact[by]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                top = place < k
+                out.append((ids[q[r[top]]], ids[other[top]], exact[top]))
         cols = [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "cos": pa.array(cols[2], pa.float64())})
 
     return run
 
 
-def _files(orders: DataFrame, posted: int, cap: int) -> DataFrame:
-    """(file, lo, hi, part, id, order, unit): the postings, long files by pairs of pivots, then in cells."""
-    head = F.array_sort(F.slice("order", 1, posted))
-    one = orders.select("id", F.explode(head).alias("p"))
-    long_ = one.groupBy("p").count().where(F.col("count") > cap)  # at most one row a pivot: a bounded array on the driver
-    hot = sorted(r["p"] for r in long_.collect())
-    rows = orders.withColumn("head", head)
-    is_hot = (lambda c: c.isin(hot)) if hot else (lambda c: F.lit(False))
-    single = rows.select("id", "order", "unit", F.explode(F.filter("head", lambda x: ~is_hot(x)).cast("array<long>")).alias("file"))
-    if not hot:
-        return single.select("file", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("part"), "id", "order", "unit")
-    # A long file of p: posted by {p, q} for the other posted pivots q, a pair of two long ones once.
-    pair = F.explode(F.array_distinct(F.flatten(F.transform(
-        F.filter("head", is_hot),
-        lambda p: F.transform(F.filter("head", lambda q: q != p), lambda q: -(F.least(p, q).cast("long") * 100000 + F.greatest(p, q).cast("long")) - 1),
-    ))))
-    double = rows.select("id", "order", "unit", pair.alias("file"))
-    n = rows.select(pair.alias("file")).groupBy("file").count().where(F.col("count") > cap)
-    double = double.join(n, "file", "left").withColumn("cells", F.ceil(F.coalesce("count", F.lit(1)) / cap).cast("int"))
-    double = double.withColumn("part", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
-    double = double.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    double = double.select("file", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "order", "unit")
-    return single.select("file", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("part"), "id", "order", "unit").unionByName(double)
+def _files(orders: DataFrame, cap: int) -> DataFrame:
+    """(file, lo, hi, part, id, order, unit): the postings; a file of more than `cap` rows in cells of two slices of at most about cap / 2."""
+    rows = orders.select("id", "order", "unit", F.explode("head").alias("file"))
+    n = orders.select(F.explode("head").alias("file")).groupBy("file").count()
+    long_ = n.where(F.col("count") > cap).select("file", F.ceil(2 * F.col("count") / cap).cast("int").alias("slices"))  # at most a row a pivot
+    rows = rows.join(F.broadcast(long_), "file", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    # A row goes into the cells of its slice with each slice: with its own, every pair of a file is in a cell once.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return rows.select("file", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "order", "unit")
 
 
 def nearest(
     vectors: DataFrame, dim: int, k: int = 5, least: float | None = None, length: int = 16, posted: int = 8, rerank: int = 48,
-    max_pivots: int = 4096, cap: int = 8192,
+    max_pivots: int = 65_536, cap: int = 8192,
 ) -> DataFrame:
     """vectors(id, vec) as valid_vectors gives them -> (id, rank, other, cos): up to k others with cos >= least, best first."""
     spark = vectors.sparkSession
@@ -167,8 +177,8 @@ def nearest(
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(min(pivots, max_pivots)).toArrow()
     if n == 0:
         return spark.createDataFrame([], "id long, rank int, other long, cos double")
-    order = stage(_orders(reps, _unit(_matrix(sample["vec"], dim)), min(length, sample.num_rows), dim), "orders")
-    files = _files(order, posted, cap)
+    order = stage(_orders(reps, _unit(_matrix(sample["vec"], dim)), min(length, sample.num_rows), posted, dim), "orders")
+    files = _files(order, cap)
     hits = files.groupBy("file", "lo", "hi").applyInArrow(_search(dim, length, rerank, k, least), "a long, b long, cos double")
     best = W.partitionBy("a").orderBy(F.desc("cos"), "b")
     hits = hits.groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
