@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import stage
+from spanloom.runtime import by_key, stage
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -72,29 +72,91 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], np.diff(off).astype(np.int64)
 
 
-def hashed_counts(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int = 20) -> np.ndarray:
-    """Upper bounds of how often each uint64 key occurs over all rows: an array of 2**bits counters.
+_CHUNK = 16  # bits of a cell's place in its chunk
 
-    Every task counts into an array of its own and emits the cells that are not zero; Spark adds them up. What
-    comes to the driver has at most 2**bits rows whatever the input, so the array may be broadcast.
+
+def coded(n: np.ndarray) -> np.ndarray:
+    """Counts in a byte, on a scale of eight steps a doubling: 0 is none, 1 is one; strictly rising up to 16, then in steps."""
+    with np.errstate(divide="ignore"):
+        return np.where(n > 0, np.minimum(255, 1 + np.floor(8 * np.log2(n))), 0).astype(np.uint8)
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    return _DECODED[code]
+
+
+_DECODED = np.where(np.arange(256) > 0, 2.0 ** ((np.arange(256) - 1) / 8), 0.0)
+
+
+def cells_for(keys: int, least: int = 16, most: int = 25) -> int:
+    """Bits of a count array for so many keys: two to four cells a key, 2**25 cells at most."""
+    return int(min(most, max(least, np.ceil(np.log2(max(1, 2 * keys))))))
+
+
+class Cells:
+    """A coded count array as it travels: chunks compressed, unpacked once in a process."""
+
+    def __init__(self, chunks: dict[int, bytes], bits: int) -> None:
+        self.chunks, self.bits, self.array = chunks, bits, None
+
+    def __getstate__(self) -> dict:
+        return {"chunks": self.chunks, "bits": self.bits, "array": None}
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The coded counts of uint64 keys; zero is proof that a key is absent."""
+        if self.array is None:
+            width = 1 << min(self.bits, _CHUNK)
+            a = np.zeros(((1 << self.bits) // width, width), np.uint8)
+            for c, n in self.chunks.items():
+                a[c] = np.frombuffer(pa.decompress(n, width, "zstd"), np.uint8)
+            self.array = a.ravel()
+        return self.array[(keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
+
+
+def hashed_counts(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Cells:
+    """Upper bounds of how often each uint64 key occurs over all rows: 2**bits coded counts.
+
+    Every task counts its cells and emits those that are not zero by chunks, as two byte strings; a chunk's parts are
+    added up where they meet, whatever their number. The driver gets 2**bits bytes at most whatever the input, so the
+    array may be sent to the tasks.
     """
-    mask = np.uint64((1 << bits) - 1)
+    mask, width = np.uint64((1 << bits) - 1), 1 << min(bits, _CHUNK)
+    held = max(1 << 20, 1 << (bits - 3))  # keys of a task before they are counted
+
+    def count(at: list, n: list) -> tuple[np.ndarray, np.ndarray]:
+        cell, inv = np.unique(np.concatenate(at), return_inverse=True)
+        return cell, np.bincount(inv, np.concatenate(n), minlength=len(cell)).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.int64)
+        at, n, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], 0
         for b in batches:
             for part in pieces(b):
                 if part.num_rows:
-                    n += np.bincount((keys_of(part) & mask).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(n)
-        for s in range(0, len(at), 1 << 16):
-            i = at[s : s + (1 << 16)]
-            yield pa.record_batch({"cell": pa.array(i.astype(np.int32)), "n": pa.array(n[i])})
+                    at.append((keys_of(part) & mask).astype(np.uint32))
+                    n.append(np.ones(len(at[-1]), np.uint32))
+                    size += len(at[-1])
+                    if size > held:
+                        c, k = count(at, n)
+                        at, n, size = [c], [k], 0
+        cell, k = count(at, n)
+        chunk = cell >> _CHUNK
+        edge = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        for s, e in zip(edge, np.append(edge[1:], len(cell))):
+            yield pa.record_batch({"chunk": pa.array([int(chunk[s])], pa.int32()), "at": pa.array([(cell[s:e] & np.uint32(width - 1)).astype(np.uint16).tobytes()]), "n": pa.array([k[s:e].tobytes()])})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, at, n in zip(b.column("chunk").to_pylist(), b.column("at").to_pylist(), b.column("n").to_pylist()):
+                t = total.setdefault(c, np.zeros(width, np.int64))
+                t[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+        for c, t in total.items():
+            code, at = np.zeros(width, np.uint8), np.flatnonzero(t)
+            code[at] = coded(t[at])
+            yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "n": pa.array([pa.compress(code.tobytes(), "zstd", asbytes=True)])})
 
-    got = df.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out
+    got = by_key(df.mapInArrow(run, "chunk int, at binary, n binary"), "chunk").mapInArrow(add, "chunk int, n binary").toArrow()
+    return Cells(dict(zip(got["chunk"].to_pylist(), got["n"].to_pylist())), bits)
 
 
 def bitmap(tokens: np.ndarray, rec: np.ndarray, n: int, longs: int) -> np.ndarray:
@@ -108,9 +170,9 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """records(field INT, key, toks) -> members(field, key, id), sets(field, id, toks), both staged: equal sets are one.
 
     Sets are told apart by 128 bits of hash; ids are unique numbers given once, when the sets are written. Repeated
-    rows of a record count once.
+    rows of a record count once; null sets take no part.
     """
-    r = stage(records.withColumn("h", F.xxhash64("field", "toks")).withColumn("g", F.xxhash64("toks", F.lit(9))), "records")
+    r = stage(records.withColumn("h", F.xxhash64("field", "toks")).withColumn("g", F.xxhash64("toks", F.lit(9))), "records").where("toks is not null")
     sets = stage(r.groupBy("field", "h", "g").agg(F.first("toks").alias("toks")).withColumn("id", F.monotonically_increasing_id()), "sets")
     members = r.select("field", "key", "h", "g").distinct().join(sets.select("field", "h", "g", "id"), ["field", "h", "g"])
     return stage(members.select("field", "key", "id"), "members"), sets.select("field", "id", "toks")

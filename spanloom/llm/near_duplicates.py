@@ -6,7 +6,8 @@ values is hashed into m segments. For any choice of a tolerance of -1 (skip), 0
 segment whose sum of (tolerance + 1) exceeds H, two similar sets meet in a segment within its tolerance. The
 smaller set indexes its segments, and what is left of each after deleting one value, once, in its own band; the
 larger set meets its own band and the few below it that can hold similar sets, and in each picks the tolerances
-with the least cost, i.e. with the least entries to be met, read from an array of counts of all index entries.
+with the least cost, i.e. with the least entries to be met, read from an array of counts of all index entries. A
+second array counts what is to be met, so that an entry is shuffled only if the other side may hold its like.
 
 A segment's subset is named by the sum of its mixed 64-bit values, so a deletion is one subtraction. Every
 candidate pair is verified on the whole sets, after a bitmap bound that never rejects a similar pair.
@@ -26,19 +27,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bitmap, classes, hashed_counts, lists, map_arrow, mix, words
+from spanloom.llm.common import Cells, bitmap, cells_for, classes, decoded, hashed_counts, lists, map_arrow, mix, words
 from spanloom.operators.graph import components
 from spanloom.runtime import spread
 
 _LONGS = 3  # of the bitmap that index entries carry
 
 
-def bigram_set(text: Column) -> Column:
-    """Sorted distinct 64-bit names of the pairs of adjacent words."""
-    w = words(text)
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    pair = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.xxhash64(x, y))
-    return F.array_sort(F.array_distinct(pair))
+def bigram_set(text: Column, least_words: int = 2) -> Column:
+    """Sorted distinct 64-bit names of the pairs of adjacent words; null for texts of fewer than `least_words` words."""
+    # The words are an item of a list of one, so that they are cut once, not once for each use.
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        pair = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.xxhash64(x, y))
+        return F.when(F.size(w) >= least_words, F.array_sort(F.array_distinct(pair)))
+
+    return F.transform(F.array(words(text)), pairs)[0]
 
 
 class Plan:
@@ -116,28 +120,29 @@ def _index_keys(plan: Plan, b: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([np.concatenate((c.full, c.less_gone)) for _, _, c in _members(plan, b, True)] or [np.zeros(0, np.uint64)])
 
 
-def _rows(keys: list, recs: list, b: pa.RecordBatch) -> pa.Table | None:
+def _rows(keys: list, recs: list, b: pa.RecordBatch, met: Cells) -> pa.Table | None:
+    """Entries whose cell of `met`, the counts of the other side, is not zero: the others meet nothing."""
     if not keys:
         return None
+    key, rec = np.concatenate(keys), np.concatenate(recs)
+    keep = met.of(key) > 0
+    key, rec = key[keep], rec[keep]
     _, ids, tok, size = _read(b)
-    rec = np.concatenate(recs)
     bits = bitmap(tok, np.repeat(np.arange(len(size)), size), len(size), _LONGS)[rec]
-    return pa.table({"sig": np.concatenate(keys).view(np.int64), "id": ids[rec], "n": size[rec].astype(np.int32)} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
+    return pa.table({"sig": key.view(np.int64), "id": ids[rec], "n": size[rec].astype(np.int32)} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
 
 
-def _index(plan: Plan, b: pa.RecordBatch) -> pa.Table | None:
+def _index(plan: Plan, probes, b: pa.RecordBatch) -> pa.Table | None:
     keys, recs = [], []
     for _, pick, c in _members(plan, b, True):
         keys += [c.full, c.less_gone]
         recs += [np.repeat(pick, c.m), pick[c.at // c.m]]
-    return _rows(keys, recs, b)
+    return _rows(keys, recs, b, probes.value)
 
 
-def _probe(plan: Plan, counts, b: pa.RecordBatch) -> pa.Table | None:
+def _met(plan: Plan, counts: Cells, b: pa.RecordBatch) -> tuple[list, list]:
     """The entries that each larger set has to meet, by the cheapest tolerances that the pigeonhole principle allows."""
-    counts = counts.value
-    mask = np.uint64(len(counts) - 1)
-    cost = lambda k: counts[(k & mask).astype(np.int64)].astype(np.float64)
+    cost = lambda k: decoded(counts.of(k))
     _, _, _, size = _read(b)
     keys, recs = [], []
     for i, pick, c in _members(plan, b, False):
@@ -158,30 +163,41 @@ def _probe(plan: Plan, counts, b: pa.RecordBatch) -> pa.Table | None:
         dels = np.flatnonzero(steps[c.at] == 2)
         keys += [c.full[whole], c.gone[wide], c.less_full[dels]]
         recs += [pick[whole // c.m], pick[wide // c.m], pick[c.at[dels] // c.m]]
-    return _rows(keys, recs, b)
+    return keys, recs
+
+
+def _probe_keys(plan: Plan, counts, b: pa.RecordBatch) -> np.ndarray:
+    keys, _ = _met(plan, counts.value, b)
+    keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
+    return keys[counts.value.of(keys) > 0]
+
+
+def _probe(plan: Plan, counts, b: pa.RecordBatch) -> pa.Table | None:
+    return _rows(*_met(plan, counts.value, b), b, counts.value)
 
 
 def _classes(texts: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
     """texts(field INT, key BIGINT, text) -> members(field, key, id) and sets(field, id, toks), one set per class of equal sets."""
     t = spread(texts.where("text is not null and key is not null"))
-    t = t.where(F.size(words(F.col("text"))) >= least_words).select("field", "key", bigram_set(F.col("text")).alias("toks"))
-    return classes(t)
+    return classes(t.select("field", "key", bigram_set(F.col("text"), least_words).alias("toks")))
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int = 20) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int | None = None) -> DataFrame:
     """sets(field INT, id BIGINT unique, toks distinct non-empty ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common).
 
     sets is read several times: pass a written table, as classes() gives it. a is the smaller set, or has the smaller id.
     """
     spark = sets.sparkSession
-    longest = sets.agg(F.max(F.size("toks"))).first()[0]
+    longest, values = sets.agg(F.max(F.size("toks")), F.sum(F.size("toks"))).first()
     schema = "sig long, id long, n int, " + ", ".join(f"b{i} long" for i in range(_LONGS))
     if longest is None:
         return spark.createDataFrame([], "field int, a long, b long, n_a int, n_b int, common int")
     plan = Plan(threshold, longest)
     src = spread(sets)
-    counts = spark.sparkContext.broadcast(hashed_counts(src, partial(_index_keys, plan), count_bits).astype(np.int32))
-    small = map_arrow(src, partial(_index, plan), schema)
+    bits = count_bits or cells_for(2 * values)
+    counts = spark.sparkContext.broadcast(hashed_counts(src, partial(_index_keys, plan), bits))
+    probes = spark.sparkContext.broadcast(hashed_counts(src, partial(_probe_keys, plan, counts), bits))
+    small = map_arrow(src, partial(_index, plan, probes), schema)
     large = map_arrow(src, partial(_probe, plan, counts), schema)
     x, y = small.alias("x"), large.alias("y")
     apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(_LONGS)), F.lit(0))

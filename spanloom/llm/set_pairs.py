@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bitmap, classes, hashed_counts, lists, map_arrow, mix
+from spanloom.llm.common import bitmap, cells_for, classes, coded, hashed_counts, lists, map_arrow, mix
 from spanloom.runtime import spread, stage
 
 
 class Forest:
     def __init__(self, threshold: float, recall: float, depth: int = 8, block: int = 16, node: int = 24, least_depth: int = 2) -> None:
-        self.t, self.depth, self.block, self.node, self.least_depth = threshold, depth, block, node, least_depth
+        self.t, self.depth, self.block, self.least_depth = threshold, depth, block, least_depth
+        self.node = int(coded(np.array(node)))  # on the scale of the count array
         self.need = -math.log(1 - recall)
         self.gain = np.array([0.0] + [-math.log1p(-(threshold**d)) if threshold < 1 else 50.0 for d in range(1, depth + 1)])
         self.trees = math.ceil(self.need / self.gain[depth])
@@ -65,18 +66,20 @@ def _prefix_keys(f: Forest, trees: range, b: pa.RecordBatch) -> np.ndarray:
 
 def _block_leaves(f: Forest, trees: range, counts, b: pa.RecordBatch) -> pa.Table:
     """Rows (leaf, id, n, bits) of the nodes in which each set is compared; rows with toks for the sets that must go on."""
-    n = counts.value
     field, ids, tok, first, size = _read(b)
     left = b.column("left").to_numpy().copy()
     bits = bitmap(tok, np.repeat(np.arange(len(size)), size), len(size), 1)[:, 0]
     name = f.prefixes(tok, first, size, field, trees)
-    small = n[(name & np.uint64(len(n) - 1)).astype(np.int64)] <= f.node
+    many = counts.value.of(name)
+    small = many <= f.node
     small[:, :, : f.least_depth - 1] = False
     small[:, :, -1] = True
     d = small.argmax(axis=2)
     leaf = np.take_along_axis(name, d[:, :, None], 2)[:, :, 0]
     gain = f.gain[d + 1]
     r, k = np.nonzero(np.cumsum(gain, axis=1) - gain < left[:, None])
+    met = np.take_along_axis(many, d[:, :, None], 2)[:, :, 0][r, k] > 1  # a set that is alone in its node meets none there
+    r, k = r[met], k[met]
     left -= gain.sum(axis=1)
     go = np.flatnonzero(left > 0)
     done = pa.table({"leaf": leaf[r, k].view(np.int64), "id": ids[r], "n": size[r].astype(np.int32), "bits": bits[r]})
@@ -85,17 +88,18 @@ def _block_leaves(f: Forest, trees: range, counts, b: pa.RecordBatch) -> pa.Tabl
     return pa.concat_tables([done, more], promote_options="permissive").select(schema.names).cast(schema)
 
 
-def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.9999, count_bits: int = 20) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.9999, count_bits: int | None = None) -> DataFrame:
     """sets(field INT, id BIGINT unique, toks non-empty distinct ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common), a < b.
 
     sets is read twice: pass a written table, as classes() gives it.
     """
     spark = sets.sparkSession
     f = Forest(threshold, recall)
+    bits = count_bits or cells_for(sets.count() * f.block * f.depth)
     pending, leaves = spread(sets).select("field", "id", "toks", F.lit(f.need).alias("left")), None
     schema = "leaf long, id long, n int, bits long, field int, left double, toks array<long>"
     for trees in f.blocks():
-        n = np.minimum(hashed_counts(pending, partial(_prefix_keys, f, trees), count_bits), 1 << 30).astype(np.int32)
+        n = hashed_counts(pending, partial(_prefix_keys, f, trees), bits)
         got = stage(map_arrow(pending, partial(_block_leaves, f, trees, spark.sparkContext.broadcast(n)), schema), "leaves")
         new = got.where("leaf is not null").select("leaf", "id", "n", "bits")
         leaves = new if leaves is None else leaves.unionByName(new)
