@@ -37,14 +37,33 @@ def test_leaks_against_brute_force(spark):
                 want.add((i, d))
     ddf = spark.createDataFrame(docs + docs[:5], "doc_id long, text string, item_id string")
     idf = spark.createDataFrame(items, "item_id long, text string")
-    for most in (500_000, 7):
-        rows = L.leaks(ddf, idf, 10, most).collect()
-        assert {(r["item_id"], r["doc_id"]) for r in rows} == want and len(rows) == len(want)
-        if most > 7:
-            text = {d: t for d, t, _ in docs}
-            for r in rows:
-                part = word_list(text[r["doc_id"]][r["start"] : r["stop"]])
-                assert len(part) == r["words"] and " ".join(part) in " ".join(word_list(dict(items)[r["item_id"]]))
+    rows = [sorted(tuple(r) for r in L.leaks(ddf, idf, 10, most).collect()) for most in (500_000, 7, 1)]
+    assert {r[:2] for r in rows[0]} == want and len(rows[0]) == len(want)
+    assert rows[0] == rows[1] == rows[2]
+    text, item = {d: t for d, t, _ in docs}, dict(items)
+    for i, d, passages, words, start, stop in rows[0]:
+        x, y = word_list(item[i]), word_list(text[d])
+        grams = {tuple(x[k : k + 10]) for k in range(len(x) - 9)}
+        at = [k for k in range(len(y) - 9) if tuple(y[k : k + 10]) in grams]
+        runs = [[at[0], at[0]]]
+        for k in at[1:]:
+            if k == runs[-1][1] + 1:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        assert passages == len(runs) and words == max(b - a for a, b in runs) + 10
+        part = word_list(text[d][start:stop])
+        assert len(part) == words and " ".join(part) in " ".join(y)
+
+
+def test_leaks_of_a_long_item_and_repeated_rows(spark):
+    w = [f"x{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    docs = [(1, "begin " + " ".join(w) + " end", 1), (1, "begin " + " ".join(w) + " end", 2), (2, " ".join(w[:12] + ["and"] + w[20:35]), 1), (3, "İ " + " ".join(w[:10]), 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, h int")
+    for most in (50_000, 7, 1):
+        got = {r["doc_id"]: tuple(r)[2:] for r in L.leaks(df, items, 10, most).collect()}
+        assert got == {1: (1, 40, 6, 6 + len(" ".join(w))), 2: (2, 15, len(" ".join(w[:12])) + 5, len(docs[2][1])), 3: (1, 10, 2, len(docs[3][1]))}
 
 
 def test_leaks_of_nothing(spark):
