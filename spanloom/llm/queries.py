@@ -119,7 +119,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of topics or development dependencies that occur together at least three times as often as by chance."""
     records = stage(_items(spark, d, _P5_FIELDS), "records")
     least = records.groupBy("field").agg(F.count("*").alias("n")).select("field", F.greatest(F.lit(4), F.ceil(F.col("n") / 500)).cast("long").alias("least"))
-    out = cooccurrence.significance(cooccurrence.pair_counts(records, least)).where("n_ab * n >= 3 * n_a * n_b")
+    # A pair of at least 4 records at 3 times chance has a ratio of at least 2 (4 ln 3 - 8 / 3) = 3.455: the test for
+    # significance is part of the operator and cannot reject a case.
+    out = cooccurrence.significance(cooccurrence.pair_counts(records, least)).where("llr >= 3.45 and n_ab * n >= 3 * n_a * n_b")
     return _named(out, _P5_FIELDS).select("field", "item_a", "item_b")
 
 
@@ -182,7 +184,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("item_id", "doc_id")
 
 
-@R.add("p7_passages")
+_SEP = "string_split_regex(lower(text), '[a-z0-9]+')"
+
+
+@R.add("p7_passages", f"""{_P7_SQL[: _P7_SQL.index("tw as")]}
+tw as (select doc_id, j, array_to_string(w[j:j + 9], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 8)) as j from t where len(w) >= 10)),
+hit as (select distinct item_id, doc_id, j from qw join tw using (g)),
+isl as (select item_id, doc_id, min(j) as f, count(*) + 9 as words from (select *, j - row_number() over (partition by item_id, doc_id order by j) as k from hit) group by item_id, doc_id, k),
+best as (select item_id, doc_id, count(*) as passages, arg_max(f, (words, -f)) as f, max(words) as words from isl group by item_id, doc_id),
+c as (select doc_id, list_transform({_SEP}, lambda x: length(x)) as s, list_transform(w, lambda x: length(x)) as n from documents join t using (doc_id) where doc_id in (select doc_id from best))
+select item_id, doc_id, passages, words, (list_sum(s[1:f]) + coalesce(list_sum(n[1:f - 1]), 0))::bigint as start, (list_sum(s[1:f + words - 1]) + list_sum(n[1:f + words - 1]))::bigint as stop from best join c using (doc_id)""")
 def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     """The same with the number of passages, the longest in words and where it stands in the text."""
     return _leaks(spark, d)
@@ -213,13 +224,30 @@ def p8_budgets(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report().select("source", "documents", "available", "budget", F.col("epochs").cast("long").alias("epochs"))
 
 
+# The draw in SQL: u from the first 52 bits of an MD5, the weight of quality(), running sums by (key, doc_id).
+_P8_DRAW = f"""{_P8_SQL}, p as (select *, trim(lower(source)) as src, floor(target_share * total)::bigint as budget, least(floor(target_share * total), available * max_repeats)::bigint as used from j),
+b as (select *, case when available > 0 then used // available else 0 end as epochs from p), e as (select *, used - epochs * available as rest from b),
+x as (select t.*, string_split_regex(lower(text), '{mixing.WHITE_SPACE}') as parts, d.text from t join documents d using (doc_id)),
+k as (select doc_id, src, size, -ln((('0x' || substr(md5(doc_id || '-17'), 1, 13))::bigint + 0.5::double) / 4503599627370496) / greatest(1e-6,
+    case when text <> '' then length(regexp_replace(text, '\\P{{L}}', '', 'g'))::double / length(text) * len(list_distinct(parts)) / len(parts) else 0 end) as key from x),
+s as (select doc_id, src, size, sum(size) over (partition by src order by key, doc_id) as upto from k where size > 0),
+sel as (select doc_id, e.source, sum(n)::bigint as repeats from (select doc_id, t.src, epochs as n from t join e using (src) where epochs > 0 union all select doc_id, s.src, 1 from s join e using (src) where upto <= rest) z join e using (src) group by all)"""
+
+
+@R.add("p8_shares", f"""{_P8_DRAW}, a as (select source, sum(repeats * size)::bigint as used from sel join t using (doc_id) group by source)
+select j.source, coalesce(used, 0)::bigint as used, round(coalesce(used, 0)::double / (select sum(used) from a), 10) as actual_share, available * max_repeats < target_share * total as short from j left join a using (source)""")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, sizes in white-space separated parts."""
+    return _mix(spark, d).report().select("source", "used", F.round("actual_share", 10).alias("actual_share"), "short")
+
+
 @R.add("p8_mix")
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached, sizes in tokens of a public tokenizer."""
     return _mix(spark, d, "/opt/tokenizers/byte_bpe_50k.json").report()
 
 
-@R.add("p8_selection")
+@R.add("p8_selection", f"{_P8_DRAW} select * from sel")
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
     return _mix(spark, d).selection()
