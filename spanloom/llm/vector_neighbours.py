@@ -115,27 +115,29 @@ def _search(dim: int, length: int, rerank: int, k: int, least: float | None):
             many = min(rerank, len(p))
             for s in range(0, len(q_all), step):
                 q = q_all[s : s + step]
-                score = np.zeros((len(q), len(p)), np.uint8)
+                score, one = np.zeros((2, len(q), len(p)), np.uint8)
                 for rank in range(at.shape[1]):
-                    score += np.minimum(weight[at[s : s + step, rank]], np.uint8(length - rank))
+                    one[:] = length - rank  # an operand of the full shape: NumPy has a fast minimum of bytes for that only
+                    score += np.minimum(np.take(weight, at[s : s + step, rank], axis=0), one)
+                cos = x[q] @ x[p].T
                 if lo == hi:
-                    score[np.arange(len(q)), np.arange(s, s + len(q))] = 0
-                # The best by footrule, then by cosine; all are kept where there are no more than that.
-                if many < len(p):
-                    c = np.argpartition(score, len(p) - many, axis=1)[:, len(p) - many :]
-                else:
-                    c = np.tile(np.arange(len(p)), (len(q), 1))
-                if len(p) <= 4096:
-                    cos = np.take_along_axis(x[q] @ x[p].T, c, 1)
+                    cos[np.arange(len(q)), np.arange(s, s + len(q))] = -2
+                r, c = np.nonzero(cos >= floor - 1e-3) if least is not None else (None, None)
+                if r is not None and len(r) <= 16 * len(q):
+                    # Few are similar enough: each is asked for its place by footrule.
+                    near = (score[r] > score[r, c][:, None]).sum(axis=1) < rerank
+                    r, c = r[near], c[near]
                 else:
-                    cos = np.einsum("qd,qcd->qc", x[q], x[p[c]], optimize=False)
-                cos = np.where(q[:, None] == p[c], -2, cos)
-                few = min(2 * k + 2, many)  # single precision picks a few more than are wanted, double precision decides
-                if few < many:
-                    best = np.argpartition(cos, many - few, axis=1)[:, many - few :]
-                    c, cos = np.take_along_axis(c, best, 1), np.take_along_axis(cos, best, 1)
-                r, j = np.nonzero(cos >= max(floor - 1e-3, -1.5))
-                other = p[c[r, j]]
+                    # The best by footrule, then by cosine: single precision picks a few more than are wanted.
+                    c = np.argpartition(score, len(p) - many, axis=1)[:, len(p) - many :]
+                    cos = np.take_along_axis(cos, c, 1)
+                    few = min(2 * k + 2, many)
+                    if few < many:
+                        best = np.argpartition(cos, many - few, axis=1)[:, many - few :]
+                        c, cos = np.take_along_axis(c, best, 1), np.take_along_axis(cos, best, 1)
+                    r, j = np.nonzero(cos >= max(floor - 1e-3, -1.5))
+                    c = c[r, j]
+                other = p[c]
                 exact = np.einsum("rd,rd->r", x[q[r]].astype(np.float64), x[other].astype(np.float64))
                 keep = exact >= floor
                 r, other, exact = r[keep], other[keep], exact[keep]
