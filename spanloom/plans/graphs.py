@@ -121,35 +121,9 @@ def csr_bounds(spark, d):
     return G.csr(table(spark, d, "triples"))
 
 
-# The word network: bags of links between libraries (r) and users (u), name parts (n), topics (t), keywords (k), domains (d), words (w).
-_HIN = f"""hrec as (select repo_id as id, any_value({KEY_SQL.format(u='git_url')}) as key, any_value(name) as name, any_value(git_topics) as topics, any_value(npm_keywords) as keywords, any_value(npm_domain) as domains,
-any_value(git_description) as descr from repositories where git_url is not null group by repo_id),
-one as (select key as src, 'u' as ty, string_split(key, '#')[1] as x from hrec union all select key, 'n', lower(unnest(string_split_regex(name, '-|_'))) from hrec
-union all select key, 't', lower(unnest(topics)) from hrec union all select key, 'k', lower(unnest(keywords)) from hrec union all select key, 'd', lower(unnest(domains)) from hrec
-union all select key, 'w', unnest(list_filter(string_split_regex(lower(descr), '[^a-z0-9]+'), lambda x: x <> '')) from hrec),
-voc as (select x from one where ty = 'w' group by x having count(*) >= 4),
-lnk as (select 'r:' || src as src, ty || ':' || replace(x, ' ', '%') as dst from one where x is not null and x <> '' and (ty <> 'w' or x in (select x from voc))),
-hin as (select src, dst from lnk union all select dst, src from lnk)"""
-
-
-def hin(spark, d):
-    """Links in both directions, repeated words as repeated links (GL5, ST2, PF9, FN14)."""
-    r = table(spark, d, "repositories").where("git_url is not null").groupBy("repo_id").agg(
-        F.first(T.repo_key(F.col("git_url"))).alias("key"), *(F.first(c).alias(c) for c in ("name", "git_topics", "npm_keywords", "npm_domain", "git_description"))
-    )
-    words = F.filter(F.split(F.lower("git_description"), "[^a-z0-9]+"), lambda x: x != "")
-    typed = [("u", F.array(F.split("key", "#")[0])), ("n", F.transform(T.split_name(F.col("name")), lambda x: F.lower(x))), ("w", words)]
-    typed += [(t, F.transform(c, lambda x: F.lower(x))) for t, c in (("t", "git_topics"), ("k", "npm_keywords"), ("d", "npm_domain"))]
-    return M.network(r, "key", typed, least=4)
-
-
-@R.add("hin_links", f"with {_HIN} select src, dst, count(*) as times from hin group by src, dst")
-def hin_links(spark, d):
-    return hin(spark, d).groupBy("src", "dst").agg(F.count("*").alias("times"))
-
-
-# The whole network of GL5: the words of readmes and of both descriptions, linked with all items of their record.
-_WHOLE = f"""nrec as (select repo_id as id, any_value({KEY_SQL.format(u='git_url')}) as key, any_value(name) as name, any_value(git_topics) as topics, any_value(npm_keywords) as keywords, any_value(npm_domain) as domains,
+# The word network of GL5: the words of readmes and of both descriptions are the hub, linked with library (r), user (u), name
+# parts (n), topics (t), keywords (k) and domains (d) of their record.
+_HIN = f"""nrec as (select repo_id as id, any_value({KEY_SQL.format(u='git_url')}) as key, any_value(name) as name, any_value(git_topics) as topics, any_value(npm_keywords) as keywords, any_value(npm_domain) as domains,
 any_value(git_description) as descr, any_value(npm_description) as npm from repositories where git_url is not null group by repo_id),
 tok as (select id, x, count(*) as n from (select id, unnest(list_filter(string_split_regex(lower(concat_ws(' ', readme, descr, npm)), '[^a-z0-9]+'), lambda x: x <> '')) as x from nrec left join ({_FIRST_README}) f on f.repo_key = key) group by all),
 item as (select id, ty, replace(x, ' ', '%') as x, count(*) as m from (select id, 'u' as ty, string_split(key, '#')[1] as x from nrec union all select id, 'n', lower(unnest(string_split_regex(name, '-|_'))) from nrec
@@ -157,12 +131,11 @@ union all select id, 't', lower(unnest(topics)) from nrec union all select id, '
 known as (select x from (select x, n from tok union all select x, m from item where ty <> 'u') group by x having sum(n) >= 4),
 ends as (select id, ty || ':' || x as node, m from item union all select id, 'r:' || key, 1 from nrec),
 half as (select 'w:' || x as src, node as dst, n * m as c from tok join ends using (id) where x in (select x from known)
-union all select distinct 'w:' || x, ty || ':' || x, 1 from item where ty <> 'u' and x in (select x from known)
-union all select 'r:' || key, ty || ':' || x, m from item join nrec using (id)),
-whole as (select src, dst, sum(c)::bigint as times from (select * from half union all select dst, src, c from half) group by src, dst)"""
+union all select distinct 'w:' || x, ty || ':' || x, 1 from item where ty <> 'u' and x in (select x from known)),
+hin as (select src, dst, sum(c)::bigint as times from (select * from half union all select dst, src, c from half) group by src, dst)"""
 
 
-def whole_network(spark, d):
+def network(spark, d):
     """(src, dst, times) over readmes and both descriptions: words linked with libraries, users, names, topics, keywords, domains (GL5, JN2)."""
     r = table(spark, d, "repositories").where("git_url is not null").groupBy("repo_id").agg(
         F.first(T.repo_key(F.col("git_url"))).alias("key"), *(F.first(c).alias(c) for c in ("name", "git_topics", "npm_keywords", "npm_domain", "git_description", "npm_description"))
@@ -175,16 +148,22 @@ def whole_network(spark, d):
     return M.word_network(r, "key", words, typed, least=4)
 
 
-@R.add("hin_whole_links", f"with {_WHOLE} select src, dst, times from whole")
-def hin_whole_links(spark, d):
-    """The word network over the whole job of GL5; hin_links keeps to the descriptions, as its SQL does."""
-    return whole_network(spark, d)
+@R.add("hin_links", f"with {_HIN} select src, dst, times from hin")
+def hin_links(spark, d):
+    """Links in both directions with how often each occurs (GL5, ST2, SC12, PF9, PF20, FN14)."""
+    return network(spark, d)
+
+
+@R.add("hin_nodes", f"with {_HIN} select distinct src as name, src[1] as type from hin")
+def hin_nodes(spark, d):
+    """The nodes of the network, which are the ends of its links, with their type (SC12, PF20)."""
+    return network(spark, d).select(F.col("src").alias("name"), F.substring("src", 1, 1).alias("type")).distinct()
 
 
 @R.add("hin_recover", f"with {_HIN} select distinct replace(least(src, dst), '%', ' ') as a, replace(greatest(src, dst), '%', ' ') as b from hin where src <> dst")
 def hin_recover(spark, d):
     """Back to a simple graph with plain names (GL6)."""
-    return G.undirected(hin(spark, d)).select(T.unescape_blanks(F.col("a")).alias("a"), T.unescape_blanks(F.col("b")).alias("b"))
+    return G.undirected(network(spark, d)).select(T.unescape_blanks(F.col("a")).alias("a"), T.unescape_blanks(F.col("b")).alias("b"))
 
 
 _PATHS = "(values ('wrw', 0.16), ('wuw', 0.16), ('wdw', 0.16), ('wnw', 0.16), ('wkw', 0.16), ('wtw', 0.2)) as p(path, weight)"
@@ -197,29 +176,47 @@ def subpaths(spark, d):
     return M.subpaths(M.default_paths(spark))
 
 
-_WALK = "hl as (select src, dst, count(*) as c from hin group by src, dst)"
-_BACK = f"{_HIN}, {_WALK}, b1 as (select src as node, sum(c)::bigint as cnt from hl where src like 't:%' and dst like 'r:%' group by src)"
+# Counts along w-x-w for the middle types x; the six paths differ in x only. Both directions of a link have its count.
+_MIDS = "m as (select unnest(['r', 'u', 'd', 'n', 'k', 't']) as x)"
+_WALK = f"""{_HIN}, {_MIDS}, lw as (select 'w' || x || 'w' as path, x, src, dst, times as c from hin join m on src[1] = 'w' and dst[1] = x),
+w0 as (select distinct path, src as node, 1::bigint as cnt from (select 'w' || x || 'w' as path, h.src from m, (select distinct src from hin where src[1] = 'w') h)),
+w1 as (select path, dst as node, sum(c)::bigint as cnt from lw group by path, dst), w2 as (select lw.path, src as node, sum(c * cnt)::bigint as cnt from lw join w1 on w1.path = lw.path and w1.node = dst group by lw.path, src)"""
+
 
+def _six(spark, d, backward):
+    """(path, step, node, cnt) for the six paths over one staged network."""
+    return M.walk_counts(stage(network(spark, d), "network"), [p for p, _ in M.PATHS], backward)
 
-@R.add("walk_count_backward", f"with {_HIN}, {_WALK}, b0 as (select dst as node, 1::bigint as cnt from hl where dst like 't:%' group by dst), b1 as (select src as node, sum(c * cnt)::bigint as cnt from hl join b0 on b0.node = dst where src like 'r:%' group by src), b2 as (select src as node, sum(c * cnt)::bigint as cnt from hl join b1 on b1.node = dst where src like 't:%' group by src) select 2 as step, * from b0 union all select 1, * from b1 union all select 0, * from b2")
+
+@R.add("walk_count_backward", f"with {_WALK} select path, 2 as step, node, cnt from w0 union all select path, 1, node, cnt from w1 union all select path, 0, node, cnt from w2")
 def walk_count_backward(spark, d):
-    """Walks topic - library - topic counted from their end, step by step (AG23)."""
-    return M.walk_counts(hin(spark, d), "trt", backward=True)
+    """Walks along each of the six paths counted from their end, step by step (AG23)."""
+    return _six(spark, d, True)
 
 
-@R.add("walk_count_forward", f"with {_HIN}, {_WALK}, b0 as (select dst as node, 1::bigint as cnt from hl where dst like 't:%' group by dst), b1 as (select dst as node, sum(c * cnt)::bigint as cnt from hl join b0 on b0.node = src where dst like 'r:%' group by dst), b2 as (select dst as node, sum(c * cnt)::bigint as cnt from hl join b1 on b1.node = src where dst like 't:%' group by dst) select 0 as step, * from b0 union all select 1, * from b1 union all select 2, * from b2")
+@R.add("walk_count_forward", f"with {_WALK} select path, 0 as step, node, cnt from w0 union all select path, 1, node, cnt from w1 union all select path, 2, node, cnt from w2")
 def walk_count_forward(spark, d):
-    return M.walk_counts(hin(spark, d), "trt", backward=False)
+    return _six(spark, d, False)
 
 
-@R.add("metapath_neighbors", f"with {_HIN}, {_WALK} select a.src as a, b.dst as b, sum(a.c * b.c)::bigint as walks from hl a join hl b on a.dst = b.src where a.src like 'd:%' and a.dst like 'r:%' and b.dst like 'd:%' group by all")
+@R.add("metapath_neighbors", f"""with {_WALK}, q as (select distinct 'w:' || unnest(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) as w from verification_samples),
+p as (select a.path, a.src as word, b.src as other, sum(a.c * b.c)::bigint as walks from lw a join lw b on a.path = b.path and a.dst = b.dst where a.src in (select w from q) group by all)
+select path, word, count(*) as others, sum(walks)::bigint as walks, max(walks) as most from p group by path, word""")
 def metapath_neighbors(spark, d):
-    """How many walks lead from one domain to another through a library (JN17)."""
-    return M.neighbours(hin(spark, d), "drd")
-
-
-@R.add("neg_distribution", f"with {_HIN}, {_WALK}, b1 as (select dst as node, sum(c)::bigint as cnt from hl where src like 't:%' and dst like 'r:%' group by dst), w as (select node, cnt, pow(cnt, 0.75) as p from b1) select node, cnt, round(p / (select sum(p) from w), 10) as prob from w")
+    """Along each path, from each word of the held-out queries: how many words are reached, by how many walks, the most to one (JN17)."""
+    net, out = stage(network(spark, d), "network"), None
+    words = F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda x: x != "")
+    starts = table(spark, d, "verification_samples").select(F.explode(words).alias("w")).select(F.concat(F.lit("w:"), "w").alias("a")).distinct()
+    for p, _ in M.PATHS:
+        one = M.neighbours(net, p, starts).groupBy(F.lit(p).alias("path"), F.col("a").alias("word"))
+        one = one.agg(F.count("*").alias("others"), F.sum("walks").alias("walks"), F.max("walks").alias("most"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@R.add("neg_distribution", f"with {_WALK}, s as (select path, 1 as step, node, cnt from w1 union all select path, 2, node, cnt from w2), p as (select *, pow(cnt, 0.75) as p from s) select path, step, node, cnt, round(p / sum(p) over (partition by path, step), 10) as prob from p")
 def neg_distribution(spark, d):
-    """Negative sampling in proportion to count ** 0.75 (AG24)."""
-    c = M.walk_counts(hin(spark, d), "tr", backward=False).where("step = 1")
-    return M.negative_distribution(c).select("node", "cnt", F.round("prob", 10).alias("prob"))
+    """Negative sampling in proportion to count ** 0.75, for each path and position (AG24)."""
+    c = _six(spark, d, False).where("step > 0").withColumn("w", F.pow(F.col("cnt").cast("double"), F.lit(0.75)))
+    total = c.groupBy("path", "step").agg(F.sum("w").alias("total"))
+    return c.join(F.broadcast(total), ["path", "step"]).select("path", "step", "node", "cnt", F.round(F.col("w") / F.col("total"), 10).alias("prob"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.learning import sgd
 from spanloom.operators import metapath as M, sampling
 from spanloom.operators.order import positions
-from spanloom.plans.graphs import whole_network
+from spanloom.plans.graphs import network
 from spanloom.plans.registry import Registry
 from spanloom.plans.vectors import triples
 from spanloom.runtime import spread, stage, table
@@ -29,17 +29,17 @@ def train_transe(spark, d):
 @R.add("train_metapath")
 def train_metapath(spark, d):
     """Losses of a training on all pairs of a million walks along the six paths (GL15, GL16); negatives by AG24."""
-    net = stage(whole_network(spark, d), "network")
+    net = stage(network(spark, d), "network")
     walks = stage(M.default_walks(net), "walks")
     ids = stage(positions(net.select(F.col("src").alias("name")).distinct(), ["name"], "id"), "ids")
     named = walks
     for k in range(3):
         named = named.join(ids.select(F.col("name").alias(f"n{k}"), F.col("id").alias(f"i{k}")), f"n{k}").drop(f"n{k}")
     tables, ends = [], F.lit(None)
+    counts = stage(M.walk_counts(net, [p for p, _ in M.PATHS], backward=False), "counts")
     for p, _ in M.PATHS:
-        counts = stage(M.walk_counts(net, p, backward=False), "counts")
         for k in (1, 2):
-            prob = M.negative_distribution(counts.where(F.col("step") == k)).join(ids, F.col("node") == F.col("name")).select("id", "prob").toArrow().sort_by("id")
+            prob = M.negative_distribution(counts.where((F.col("path") == p) & (F.col("step") == k))).join(ids, F.col("node") == F.col("name")).select("id", "prob").toArrow().sort_by("id")
             ends = F.when((F.col("path") == p) & (F.col("k") == k), len(tables)).otherwise(ends)
             tables.append((prob["id"].to_numpy(), prob["prob"].to_numpy()))
     pair = lambda a, b: F.struct(F.col(f"i{a}").alias("u"), F.col(f"i{b}").alias("v"), F.lit(b).alias("k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph as G, metapath as M, sampling as S
-from spanloom.plans.graphs import whole_network
+from spanloom.plans.graphs import network
 from spanloom.plans.registry import Registry
 from spanloom.runtime import stage, table
 
@@ -133,7 +133,7 @@ def training_batches(spark, d):
 @R.add("walk_sample")
 def walk_sample(spark, d):
     """A million walks along the six paths of the whole network, as an iteration of the reference takes (GL15)."""
-    return M.default_walks(stage(whole_network(spark, d), "network"))
+    return M.default_walks(stage(network(spark, d), "network"))
 
 
 @R.add("path_score", f"with {_TRI}, v as (select ent_id, any_value(vec) as vec from ent_embeddings where len(vec) = 100 and len(list_filter(vec, lambda x: isnan(x))) = 0 group by ent_id), p as (select r, list_dot_product(a.vec, b.vec) as dot from tri join v a on a.ent_id = h join v b on b.ent_id = t) select r as path_id, round(exp(avg(-ln(1 + exp(-dot)))), 8) as score from p group by r")
