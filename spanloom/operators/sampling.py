@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from spanloom.operators.order import positions
 from spanloom.runtime import stage
@@ -44,14 +45,15 @@ def corrupt(t: DataFrame, known: DataFrame, side: str, pool: DataFrame, size: st
 
     pool(.., index, value) holds the candidates numbered from 0; `size` is the number of candidates of a row. Draw k
     of a row is candidate (31 h + 17 t + 7 r + 7919 k) mod size; the first draw that gives no known triple counts. Rows
-    without one after `most` draws are left with a null, as all candidates may be known. Anti-joins the known
-    triples with the draws only; nothing is crossed with all entities.
+    without one after `most` draws take the n-th of their unknown candidates in order, n = (31 h + 17 t + 7 r) mod their
+    number; the value is null only where all candidates are known. Anti-joins the known triples with the draws only;
+    nothing is crossed with all entities.
     """
     on = [c for c in pool.columns if c not in (index, "value")]
     todo, out, k = stage(t, "todo"), None, 0
     while k < most:
         d = _draws(todo, range(k, k + step))
-        d = d.withColumn(index, F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7 + F.col("k") * 7919, F.col(size)))
+        d = d.withColumn(index, F.pmod(_start() + F.col("k") * 7919, F.col(size)))
         d = d.join(pool, [*on, index])
         new = {c: F.col("value") if c == side else F.col(c) for c in ("h", "t", "r")}
         d = d.select("h", "t", "r", "k", "value", *(v.cast("long").alias(f"n{c}") for c, v in new.items()))
@@ -62,7 +64,33 @@ def corrupt(t: DataFrame, known: DataFrame, side: str, pool: DataFrame, size: st
         k += step
         if todo.isEmpty():
             return out
-    return out.unionByName(todo.select("h", "t", "r", F.lit(None).cast("long").alias("value")))
+    return out.unionByName(_nth_unknown(todo, known, side, pool, size, index))
+
+
+def _start() -> Column:
+    return F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7
+
+
+def _nth_unknown(todo: DataFrame, known: DataFrame, side: str, pool: DataFrame, size: str, index: str) -> DataFrame:
+    """(h, t, r, value) for the rows of todo: the place of the n-th unknown candidate is n plus the known ones before it.
+
+    The i-th known place p (from 0) lies before it exactly if p - i <= n, so the known ones are counted by merging both
+    lists in one sorted pass a key.
+    """
+    on = [c for c in pool.columns if c not in (index, "value")]
+    same = [c for c in ("h", "t", "r") if c != side]
+    # `pool` may be keyed by r; where r is the side there is no further key.
+    taken = known.select(*same, F.col(side).cast("long").alias("value")).distinct().join(todo.select(*same).distinct(), same, "left_semi")
+    taken = taken.join(pool.withColumn("value", F.col("value").cast("long")), [*on, "value"])
+    by = W.partitionBy(*same).orderBy(index)
+    marks = stage(taken.select(*same, (F.col(index) - F.row_number().over(by) + 1).cast("long").alias("at")), "known")
+    n = todo.join(marks.groupBy(*same).agg(F.count("*").alias("taken")), same, "left").withColumn("free", F.col(size) - F.coalesce("taken", F.lit(0)))
+    asked = n.where("free > 0").select("h", "t", "r", F.pmod(_start(), F.col("free")).cast("long").alias("at"), F.lit(1).alias("asked"))
+    both = asked.unionByName(marks.withColumn(side, F.lit(None).cast(todo.schema[side].dataType)).withColumn("asked", F.lit(0)))
+    before = F.sum(1 - F.col("asked")).over(W.partitionBy(*same).orderBy("at", "asked").rowsBetween(W.unboundedPreceding, 0))
+    place = both.withColumn(index, F.col("at") + before).where("asked = 1").select("h", "t", "r", index)
+    found = place.join(pool, [*on, index]).select("h", "t", "r", F.col("value").cast("long").alias("value"))
+    return todo.select("h", "t", "r").join(found, ["h", "t", "r"], "left")
 
 
 def entity_pool(t: DataFrame) -> DataFrame:

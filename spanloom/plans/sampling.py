@@ -37,6 +37,7 @@ def bern_prob(spark, d):
 
 
 _POOL = "ents as (select h as e from tri union select t from tri), pool as (select e as value, row_number() over (order by e) - 1 as idx from ents), sz as (select count(*) as size from ents)"
+_N0 = "(h * 31 + t * 17 + r * 7)"
 _PICK = "qualify row_number() over (partition by h, t, r order by k) = 1"
 
 
@@ -57,17 +58,30 @@ def corrupt_head(spark, d):
 
 @R.add("corrupt_typed", f"""with {_TRI}, rp as (select r, t as value, row_number() over (partition by r order by t) - 1 as idx from (select distinct r, t from tri)), sz as (select r, count(*) as size from rp group by r),
 c as (select tri.*, k, value from tri join sz using (r), unnest(range(64)) as u(k) join rp on rp.r = tri.r and idx = (h * 31 + tri.t * 17 + tri.r * 7 + k * 7919) % size),
-g as (select h, t, r, value from c where not exists (select 1 from tri x where x.h = c.h and x.t = c.value and x.r = c.r) {_PICK}) select tri.h, tri.t, tri.r, g.value from tri left join g on g.h = tri.h and g.t = tri.t and g.r = tri.r""")
+g as (select h, t, r, value from c where not exists (select 1 from tri x where x.h = c.h and x.t = c.value and x.r = c.r) {_PICK}),
+l as (select tri.* from tri anti join g on g.h = tri.h and g.t = tri.t and g.r = tri.r),
+fr as (select l.*, rp.value, row_number() over (partition by l.h, l.t, l.r order by idx) - 1 as p, count(*) over (partition by l.h, l.t, l.r) as n from l join rp using (r) where not exists (select 1 from tri x where x.h = l.h and x.t = rp.value and x.r = l.r)),
+g2 as (select h, t, r, value from g union all select h, t, r, value from fr where p = {_N0} % n),
+l2 as (select tri.* from tri anti join g2 on g2.h = tri.h and g2.t = tri.t and g2.r = tri.r), {_POOL.replace("sz as", "sa as")},
+c2 as (select l2.*, k, value from l2, sa, unnest(range(64)) as u(k) join pool on idx = ({_N0} + k * 7919) % sa.size),
+g3 as (select h, t, r, value from c2 where not exists (select 1 from tri x where x.h = c2.h and x.t = c2.value and x.r = c2.r) {_PICK})
+select * from g2 union all select * from g3""")
 def corrupt_typed(spark, d):
-    """New tails among those seen with the relation (GL10)."""
+    """New tails among those seen with the relation; where all of these are known, among all entities (GL10)."""
     t = tri(spark, d)
     pool, size = S.typed_pool(t)
-    return S.corrupt(t.join(F.broadcast(size), "r").select("h", "t", "r", "size"), t, "t", stage(pool, "pool"), "size", "idx")
+    got = stage(S.corrupt(t.join(F.broadcast(size), "r").select("h", "t", "r", "size"), t, "t", stage(pool, "pool"), "size", "idx"), "typed")
+    every = stage(S.entity_pool(t), "pool")
+    rest = got.where("value is null").select("h", "t", "r").withColumn("size", F.lit(every.count()))
+    return got.where("value is not null").unionByName(S.corrupt(rest, t, "t", every, "size", "idx"))
 
 
 @R.add("corrupt_relation", f"""with {_TRI}, rp as (select distinct r from tri), pool as (select r::bigint as value, row_number() over (order by r) - 1 as idx from rp), sz as (select count(*) as size from rp),
 c as (select tri.*, k, value from tri, sz, unnest(range(64)) as u(k) join pool on idx = (h * 31 + t * 17 + r * 7 + k * 7919) % size),
-g as (select h, t, r, value from c where not exists (select 1 from tri x where x.h = c.h and x.t = c.t and x.r = c.value) {_PICK}) select tri.h, tri.t, tri.r, g.value from tri left join g on g.h = tri.h and g.t = tri.t and g.r = tri.r""")
+g as (select h, t, r, value from c where not exists (select 1 from tri x where x.h = c.h and x.t = c.t and x.r = c.value) {_PICK}),
+l as (select tri.* from tri anti join g on g.h = tri.h and g.t = tri.t and g.r = tri.r),
+fr as (select l.*, value, row_number() over (partition by h, t, r order by idx) - 1 as p, count(*) over (partition by h, t, r) as n from l, pool where not exists (select 1 from tri x where x.h = l.h and x.t = l.t and x.r = value)),
+f as (select * from g union all select h, t, r, value from fr where p = {_N0} % n) select tri.h, tri.t, tri.r, f.value from tri left join f on f.h = tri.h and f.t = tri.t and f.r = tri.r""")
 def corrupt_relation(spark, d):
     """New relations (GL8, GL9)."""
     from spanloom.operators.order import positions

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import graph as G
 from spanloom.plans.registry import Registry
-from spanloom.runtime import shared_dir, table
+from spanloom.runtime import table, work_dir
 from spanloom.sources import readers as S
 
 R = Registry()
 
 
 def _path(spark) -> str:
-    return f"{shared_dir(spark)}/spanloom/files-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 @R.add("source_json_lines", "select name, git_stars, array_to_string(git_topics, '~') as topics, count(*) as n from (select distinct repo_id, name, git_stars, git_topics from repositories) where git_stars >= 10 group by all")

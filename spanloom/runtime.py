@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,16 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     return _local_dir
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the driver's Python ends, or by purge()."""
+    app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(_end, spark)
+    return f"{shared_dir(spark)}/spanloom/{app}"
+
+
+_cleaned: set[str] = set()
+
+
+def _end(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            purge(spark)
+    except Exception:  # the JVM is gone: the folder stays for whoever looks after the shared one
+        pass
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     Needed before an iterative step, and where two later branches would otherwise repeat Python work.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,8 +67,8 @@ def spread(df: DataFrame, least: int = 2) -> DataFrame:
     A scan in as many partitions or more is left alone, as at scale; so is a plan with a shuffle, whose number of
     partitions is known only once it has run.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
+    if getattr(df, "_jdf", None) is None or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # a remote session has no plan to look at
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least * n) if df.rdd.getNumPartitions() < n else df
 
@@ -59,6 +82,6 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete all staged tables of this package; call it when their results have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanloom")
+    """Delete the staged tables of this application, and no other's; call it when their results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -44,6 +44,21 @@ def test_walk_counts(spark):
     assert {r["n0"] for r in w} == {"w:1", "w:2"} and all(r["n1"] == "r:1" for r in w)
 
 
+@pytest.mark.parametrize("side", ["t", "h", "r"])
+def test_corruption_finds_the_last_unknown_candidate(spark, side):
+    # Every candidate but one or two is known; one draw is not enough to find them.
+    at = {"t": lambda x: (3, x, 0), "h": lambda x: (x, 3, 0), "r": lambda x: (3, 4, x)}[side]
+    rows = [at(x) for x in range(30) if x not in (11, 23)] + ([(x, x, 5) for x in range(30)] if side != "r" else [(7, 8, x) for x in range(30)])
+    t = spark.createDataFrame(rows, "h long, t long, r int")
+    pool = sampling.entity_pool(t) if side != "r" else spark.createDataFrame([(i, i) for i in range(30)], "idx long, value long")
+    got = sampling.corrupt(t.withColumn("size", F.lit(30)), t, side, pool, "size", "idx", 1, 1).collect()
+    hub = [r for r in got if (r["r"] == 0 if side != "r" else r["h"] == 3)]
+    assert len(got) == len(rows) and {r["value"] for r in hub} == {11, 23}
+    for r in hub:
+        draw = (r["h"] * 31 + r["t"] * 17 + r["r"] * 7) % 30
+        assert r["value"] == (draw if draw in (11, 23) else (11, 23)[(r["h"] * 31 + r["t"] * 17 + r["r"] * 7) % 2])
+
+
 @pytest.mark.parametrize("mid", ["u", "t"])
 def test_walk_counts_through_users_and_topics(spark, mid):
     links = [("w:1", f"{mid}:1")] * 2 + [("w:2", f"{mid}:1"), ("w:2", f"{mid}:2"), ("w:2", "r:9")]
