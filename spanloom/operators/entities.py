@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -62,7 +61,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, threshold: float, measure: st
     """left(ne), right(ne) -> (ne, match, score): the best match at or above threshold, ties to the smaller match.
 
     Candidates share a part: a text within k edits of another keeps one of its k + 1 pieces unchanged, at a place
-    shifted by k at most, so texts of similar length are joined on (piece, length) and only candidates are scored.
+    shifted by k at most, so texts are joined on (piece, length, place) and only candidates are scored.
     """
     t = threshold / 100 - 0.005  # the percentage is rounded
     # Edits allowed: for the ratio 2m / (a + b), insertions and deletions a + b - 2m; for edit distance, (1 - t) * the longer.
@@ -76,12 +75,16 @@ def fuzzy_match(left: DataFrame, right: DataFrame, threshold: float, measure: st
         lambda i: F.struct(F.floor(i * F.col("n") / parts).cast("int").alias("at"), (F.floor((i + 1) * F.col("n") / parts) - F.floor(i * F.col("n") / parts)).cast("int").alias("len")),
     )
     l = l.withColumn("p", F.explode(cut)).select("ne", "n", "k", F.col("p.at").alias("at"), F.substring(F.col("ne"), F.col("p.at") + 1, F.col("p.len")).alias("piece"))  # noqa: E741
+    # The key of the join is (piece, length of the other text, its place there): both sides list what the k edits allow.
     sizes = [r["x"] for r in l.select(F.length("piece").alias("x")).distinct().collect()]  # piece lengths: a handful
+    l = l.withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("k")), F.col("n") + F.col("k"))))  # noqa: E741
+    l = l.withColumn("rat", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k"))))  # noqa: E741
+    l = l.where(F.col("rat") + F.length("piece") <= F.col("m"))  # noqa: E741
     r = right.select(F.col("ne").alias("match"), F.length("ne").alias("m")).where("m > 0")
     gram = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.col("m") - s, F.lit(0))), lambda i: F.struct(i.alias("rat"), F.substring(F.col("match"), i + 1, F.lit(s)).alias("piece")))
     grams = F.flatten(F.array(*map(gram, sizes or [1])))
     r = r.withColumn("g", F.explode(grams)).select("match", "m", "g.rat", "g.piece")
-    cand = l.join(r, "piece").where("abs(at - rat) <= k and abs(n - m) <= k").select("ne", "match").distinct()
+    cand = l.join(r, ["piece", "m", "rat"]).select("ne", "match").distinct()
     if measure == "ratio":
         scored = cand.withColumn("score", ratio_udf("ne", "match"))
     else:
@@ -90,21 +93,19 @@ def fuzzy_match(left: DataFrame, right: DataFrame, threshold: float, measure: st
     return best.select("ne", F.col("b.match").alias("match"), (-F.col("b.s")).alias("score"))
 
 
-def abbreviations(entities: DataFrame, pairs: dict[str, str] | None = None, threshold: int = 85) -> DataFrame:
-    """(ne, short, expansion): the expansion of a known short form, or the short form whose expansion is like ne."""
-    pairs = pairs or ABBREVIATIONS
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for x in b["ne"]:
-                if x in pairs:
-                    rows.append((x, x, pairs[x]))
-                else:
-                    hit = next(((k, v) for k, v in pairs.items() if ratio(x, v) >= threshold), None)
-                    if hit:
-                        rows.append((x, *hit))
-            yield pd.DataFrame(rows, columns=["ne", "short", "expansion"])
-
-    schema = TP.StructType([TP.StructField(c, TP.StringType()) for c in ("ne", "short", "expansion")])
-    return entities.select("ne").where("ne is not null").mapInPandas(run, schema)
+def abbreviations(entities: DataFrame, pairs: DataFrame | None = None, threshold: int = 85) -> DataFrame:
+    """(ne, short, expansion): the expansion of a known short form, or the first short form whose expansion is like ne.
+
+    pairs(no, short, expansion), a small table: ABBREVIATIONS by default. Entities that are no short form meet only the
+    expansions whose length allows the ratio: 2 min / (a + b) is its bound.
+    """
+    spark = entities.sparkSession
+    if pairs is None:
+        pairs = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(ABBREVIATIONS.items())], "no int, short string, expansion string")
+    ne = entities.select("ne").where("ne is not null").distinct()
+    exact = ne.join(F.broadcast(pairs), F.col("ne") == F.col("short")).select("ne", "short", "expansion")
+    a, b = F.length("ne"), F.length("expansion")
+    near = ne.join(F.broadcast(pairs.select("short")), F.col("ne") == F.col("short"), "left_anti")
+    near = near.join(F.broadcast(pairs), 200 * F.least(a, b) >= (threshold - 0.5) * (a + b)).where(ratio_udf("expansion", "ne") >= threshold)
+    near = near.groupBy("ne").agg(F.min(F.struct("no", "short", "expansion")).alias("p")).select("ne", "p.short", "p.expansion")
+    return exact.unionByName(near)

@@ -40,39 +40,42 @@ def _draws(todo: DataFrame, rounds: range) -> DataFrame:
     return todo.withColumn("k", F.explode(F.sequence(F.lit(rounds.start), F.lit(rounds.stop - 1))))
 
 
-def corrupt(t: DataFrame, known: DataFrame, side: str, pool: DataFrame, size: str, index: str, most: int = 64, step: int = 8) -> DataFrame:
+def corrupt(t: DataFrame, known: DataFrame, side: str, pool: DataFrame, size: str, index: str, most: int = 64, step: int = 8, number: str | None = None) -> DataFrame:
     """One filtered corruption of `side` (h, t or r) for each row of t(h, t, r, ..size column..).
 
     pool(.., index, value) holds the candidates numbered from 0; `size` is the number of candidates of a row. Draw k
     of a row is candidate (31 h + 17 t + 7 r + 7919 k) mod size; the first draw that gives no known triple counts. Rows
     without one after `most` draws take the n-th of their unknown candidates in order, n = (31 h + 17 t + 7 r) mod their
     number; the value is null only where all candidates are known. Anti-joins the known triples with the draws only;
-    nothing is crossed with all entities.
+    nothing is crossed with all entities. number: a column that tells several negatives of a triple apart; 104729 times
+    it is added to the start of the draws, and it stays in the result.
     """
+    key, start = ["h", "t", "r", *([number] if number else [])], _start(number)
     on = [c for c in pool.columns if c not in (index, "value")]
     todo, out, k = stage(t, "todo"), None, 0
     while k < most:
         d = _draws(todo, range(k, k + step))
-        d = d.withColumn(index, F.pmod(_start() + F.col("k") * 7919, F.col(size)))
+        d = d.withColumn(index, F.pmod(start + F.col("k") * 7919, F.col(size)))
         d = d.join(pool, [*on, index])
         new = {c: F.col("value") if c == side else F.col(c) for c in ("h", "t", "r")}
-        d = d.select("h", "t", "r", "k", "value", *(v.cast("long").alias(f"n{c}") for c, v in new.items()))
+        d = d.select(*key, "k", "value", *(v.cast("long").alias(f"n{c}") for c, v in new.items()))
         free = d.join(known.select(*(F.col(c).cast("long").alias(f"n{c}") for c in ("h", "t", "r"))), ["nh", "nt", "nr"], "left_anti")
-        got = stage(free.groupBy("h", "t", "r").agg(F.min_by("value", "k").alias("value")), "got")
+        got = stage(free.groupBy(*key).agg(F.min_by("value", "k").alias("value")), "got")
         out = got if out is None else out.unionByName(got)
-        todo = stage(todo.join(got, ["h", "t", "r"], "left_anti"), "todo")
+        todo = stage(todo.join(got, key, "left_anti"), "todo")
         k += step
         if todo.isEmpty():
             return out
-    return out.unionByName(_nth_unknown(todo, known, side, pool, size, index))
+    return out.unionByName(_nth_unknown(todo, known, side, pool, size, index, key, start))
 
 
-def _start() -> Column:
-    return F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7
+def _start(number: str | None) -> Column:
+    s = F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7
+    return s + F.col(number) * 104729 if number else s
 
 
-def _nth_unknown(todo: DataFrame, known: DataFrame, side: str, pool: DataFrame, size: str, index: str) -> DataFrame:
-    """(h, t, r, value) for the rows of todo: the place of the n-th unknown candidate is n plus the known ones before it.
+def _nth_unknown(todo: DataFrame, known: DataFrame, side: str, pool: DataFrame, size: str, index: str, key: list[str], start: Column) -> DataFrame:
+    """(h, t, r, .., value) for the rows of todo: the place of the n-th unknown candidate is n plus the known ones before it.
 
     The i-th known place p (from 0) lies before it exactly if p - i <= n, so the known ones are counted by merging both
     lists in one sorted pass a key.
@@ -85,12 +88,15 @@ def _nth_unknown(todo: DataFrame, known: DataFrame, side: str, pool: DataFrame,
     by = W.partitionBy(*same).orderBy(index)
     marks = stage(taken.select(*same, (F.col(index) - F.row_number().over(by) + 1).cast("long").alias("at")), "known")
     n = todo.join(marks.groupBy(*same).agg(F.count("*").alias("taken")), same, "left").withColumn("free", F.col(size) - F.coalesce("taken", F.lit(0)))
-    asked = n.where("free > 0").select("h", "t", "r", F.pmod(_start(), F.col("free")).cast("long").alias("at"), F.lit(1).alias("asked"))
-    both = asked.unionByName(marks.withColumn(side, F.lit(None).cast(todo.schema[side].dataType)).withColumn("asked", F.lit(0)))
+    asked = n.where("free > 0").select(*key, F.pmod(start, F.col("free")).cast("long").alias("at"), F.lit(1).alias("asked"))
+    for c in key:
+        if c not in same:
+            marks = marks.withColumn(c, F.lit(None).cast(todo.schema[c].dataType))
+    both = asked.unionByName(marks.withColumn("asked", F.lit(0)))
     before = F.sum(1 - F.col("asked")).over(W.partitionBy(*same).orderBy("at", "asked").rowsBetween(W.unboundedPreceding, 0))
-    place = both.withColumn(index, F.col("at") + before).where("asked = 1").select("h", "t", "r", index)
-    found = place.join(pool, [*on, index]).select("h", "t", "r", F.col("value").cast("long").alias("value"))
-    return todo.select("h", "t", "r").join(found, ["h", "t", "r"], "left")
+    place = both.withColumn(index, F.col("at") + before).where("asked = 1").select(*key, index)
+    found = place.join(pool, [*on, index]).select(*key, F.col("value").cast("long").alias("value"))
+    return todo.select(*key).join(found, key, "left")
 
 
 def entity_pool(t: DataFrame) -> DataFrame:

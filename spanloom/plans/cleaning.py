@@ -97,6 +97,15 @@ def special_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.split_special(F.col("text")), "~").alias("parts"))
 
 
+@R.add("token_refine", r"""select item_id, array_to_string(list_filter(string_split_regex(regexp_replace(query, '(-|\.|/|:|\(|\)|,|&|!|=|''|\?|\[|\]|\\|>|（|）|#[0-9]#)', chr(1) || '\1' || chr(1), 'g'), '[' || chr(1) || '\s]+'), lambda x: x <> ''), '~') as tokens from verification_samples
+union all select doc_id + 1000000, array_to_string(list_filter(string_split_regex(regexp_replace(head, '(-|\.|/|:|\(|\)|,|&|!|=|''|\?|\[|\]|\\|>|（|）|#[0-9]#)', chr(1) || '\1' || chr(1), 'g'), '[' || chr(1) || '\s]+'), lambda x: x <> ''), '~') from documents where head is not null""")
+def token_refine(spark, d):
+    """Tokens of the held-out queries and of section heads, cut around punctuation marks (FN8)."""
+    one = lambda t, i, c: t.select(i.alias("item_id"), F.array_join(T.refine_tokens(F.col(c)), "~").alias("tokens"))
+    heads = one(table(spark, d, "documents").where("head is not null"), F.col("doc_id") + 1000000, "head")
+    return one(table(spark, d, "verification_samples"), F.col("item_id"), "query").unionByName(heads)
+
+
 @R.add("space_escape", "select distinct ent_id, replace(name, ' ', '%') as escaped, replace(replace(name, ' ', '%'), '%', ' ') as restored from ent_embeddings where name is not null")
 def space_escape(spark, d):
     e = T.escape_blanks(F.col("name"))

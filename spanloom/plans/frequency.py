@@ -72,16 +72,29 @@ def stopword_drop(spark, d):
     return vocabulary(spark, d).where("cnt >= 4").join(stop, "word", "left_anti")
 
 
+@R.add("token_stop_filter", r"""with s as (select unnest(string_split(query, ' ')) as w, item_id from verification_samples), stop as (select lower(w) as w from s where w <> '' group by lower(w) having count(distinct item_id) > 0.1 * (select count(*) from verification_samples))
+select item_id, array_to_string(list_filter(string_split(query, ' '), lambda x: x <> '' and not list_contains(words, x)), ' ') as kept from verification_samples, (select coalesce(list(w), []) as words from stop)""")
+def token_stop_filter(spark, d):
+    """Tokens without stop words, compared in their own case with a lower-case list before they are lower-cased, repeats kept (PF10b).
+    The list, here the words of more than a tenth of the queries, is a parameter table of bounded size."""
+    q = table(spark, d, "verification_samples").select("item_id", F.split("query", " ").alias("w"))
+    n = q.count()
+    stop = q.select("item_id", F.explode("w").alias("x")).where("x <> ''").groupBy(F.lower("x").alias("x")).agg(F.countDistinct("item_id").alias("n")).where(F.col("n") > 0.1 * n)
+    words = stop.agg(F.collect_list("x").alias("stop"))
+    return q.join(F.broadcast(words)).select("item_id", F.array_join(F.filter("w", lambda x: (x != "") & ~F.array_contains("stop", x)), " ").alias("kept"))
+
+
 _NODES = f"""select '$LIB' || {KEY_SQL.format(u='git_url')} as name, 'library' as kind from repositories where git_url is not null
 union select '$USER' || string_split({KEY_SQL.format(u='git_url')}, '#')[1], 'user' from repositories where git_url is not null
 union select '$TOPIC' || x, 'topic' from (select lower(unnest(git_topics)) as x from repositories) where x is not null
 union select '$KEYWORD' || x, 'keyword' from (select lower(unnest(npm_keywords)) as x from repositories) where x is not null
-union select '$DOMAIN' || x, 'domain' from (select lower(unnest(npm_domain)) as x from repositories) where x is not null"""
+union select '$DOMAIN' || x, 'domain' from (select lower(unnest(npm_domain)) as x from repositories) where x is not null
+union select '$NAME' || x, 'name' from (select lower(unnest(string_split_regex(name, '-|_'))) as x from repositories) where x is not null"""
 
 
 @R.add("node_sets", _NODES)
 def node_sets(spark, d):
-    """Distinct nodes of five kinds (AG7, ST4)."""
+    """Distinct nodes of six kinds (AG7, ST4)."""
     r = table(spark, d, "repositories")
     key = T.repo_key(F.col("git_url"))
     node = lambda df, c, prefix, kind: df.select(F.concat(F.lit(prefix), c).alias("name"), F.lit(kind).alias("kind"))
@@ -89,6 +102,7 @@ def node_sets(spark, d):
     out = node(r, key, "$LIB", "library").unionByName(node(r, F.split(key, "#")[0], "$USER", "user"))
     for c, p, k in (("git_topics", "$TOPIC", "topic"), ("npm_keywords", "$KEYWORD", "keyword"), ("npm_domain", "$DOMAIN", "domain")):
         out = out.unionByName(item(c, p, k))
+    out = out.unionByName(node(r.select(lowered(T.split_name(F.col("name"))).alias("x")), F.col("x"), "$NAME", "name"))
     return out.where("name is not null").distinct()
 
 

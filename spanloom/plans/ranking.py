@@ -54,7 +54,23 @@ def _all_models(h, r, t):
     }
 
 
-@R.add("score_models")
+_UNIT = "case when list_dot_product({0}, {0}) > 0 then list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0}))) else {0} end"
+_PLUS = "list_transform(list_zip({a}, {b}), lambda p: p[1] + {f} * p[2])"  # a + f * b
+# Eleven scores from list formulas: w is r reversed, M = I + 0.1 r w', the normal of transh is w, transfer vectors are reversed ones.
+_MODELS_SQL = f"""with {_BASE}, x as (select h, t, tri.r, a.vec as a, rel.vec as q, b.vec as b, list_reverse(rel.vec) as w {_TRI3}),
+y as (select *, {_UNIT.format('w')} as wn, list_dot_product(a, q) as aq, list_dot_product(b, q) as bq, list_dot_product(a, list_reverse(a)) as aa, list_dot_product(b, list_reverse(b)) as bb from x),
+z as (select *, {_PLUS.format(a='a', b='wn', f='(-list_dot_product(a, wn))')} as ha, {_PLUS.format(a='b', b='wn', f='(-list_dot_product(b, wn))')} as hb, {_PLUS.format(a='a', b='w', f='0.1::double * aq')} as ra, {_PLUS.format(a='b', b='w', f='0.1::double * bq')} as rb,
+    {_PLUS.format(a='a', b='w', f='aa')} as da, {_PLUS.format(a='b', b='w', f='bb')} as db from y),
+n as (select *, {_UNIT.format('q')} as uq, {_UNIT.format('a')} as ua, {_UNIT.format('b')} as ub, {_UNIT.format('ha')} as uha, {_UNIT.format('hb')} as uhb, {_UNIT.format('ra')} as ura, {_UNIT.format('rb')} as urb, {_UNIT.format('da')} as uda, {_UNIT.format('db')} as udb,
+    -list_sum(list_transform(list_zip(a, q, b), lambda p: p[1] * p[2] * p[3])) as dm,
+    -list_sum(list_transform(range(1, 51), lambda i: a[i] * q[i] * b[i] + a[i] * q[i + 50] * b[i + 50] + a[i + 50] * q[i] * b[i + 50] - a[i + 50] * q[i + 50] * b[i])) as cx from z)
+select h, t, r, round({_L1.format(a='ua', b='uq', c='ub')}, 6) as transe, round({_L1.format(a='uha', b='uq', c='uhb')}, 6) as transh, round({_L1.format(a='ura', b='uq', c='urb')}, 6) as transr, round({_L1.format(a='uda', b='uq', c='udb')}, 6) as transd,
+    round(list_sum(list_transform(range(1, 51), lambda i: sqrt((a[i] * cos(pi() * q[i]) - a[i + 50] * sin(pi() * q[i]) - b[i]) ** 2 + (a[i] * sin(pi() * q[i]) + a[i + 50] * cos(pi() * q[i]) - b[i + 50]) ** 2))) - 6, 6) + 0.0 as rotate,
+    round(dm, 6) + 0.0 as distmult, round(cx, 6) + 0.0 as complex, round(dm, 6) + 0.0 as simple, round(list_dot_product(a, b) + 0.1::double * aq * list_dot_product(w, b), 6) + 0.0 as rescal, round(cx + dm, 6) + 0.0 as analogy,
+    round(-list_sum(list_transform(range(0, 100), lambda k: q[k + 1] * list_dot_product(a, list_concat(b[k + 1:], b[1:k])))), 6) + 0.0 as hole from n"""
+
+
+@R.add("score_models", _MODELS_SQL)
 def score_models(spark, d):
     """All eleven scores of every triple (GL27)."""
     import pyarrow as pa
@@ -70,7 +86,7 @@ def score_models(spark, d):
                     x = _all_models(L._m(c, "hv"), L._m(c, "rv"), L._m(c, "tv"))
                     yield pa.RecordBatch.from_arrays([c.column(k) for k in ("h", "t", "r")] + [pa.array(np.asarray(x[k], np.float64)) for k in names], ["h", "t", "r", *names])
 
-    return j.mapInArrow(run, "h long, t long, r int, " + ", ".join(f"{k} double" for k in names))
+    return j.mapInArrow(run, "h long, t long, r int, " + ", ".join(f"{k} double" for k in names)).select("h", "t", "r", *((F.round(k, 6) + 0.0).alias(k) for k in names))
 
 
 # A stated query set: the triples whose h + t is divisible by 20, ranked against all entities.
@@ -131,12 +147,14 @@ _PAIR = f"""{_BASE}, {_NEG}, ps as (select h, t, tri.r, {_L1.format(a='a.vec', b
 ns as (select h, t, ng.r, {_L1.format(a='a.vec', b='nr.vec', c='b.vec')} as n from ng join nv a on a.id = h join nv b on b.id = value join nr on nr.r = ng.r), pn as (select p, n from ps join ns using (h, t, r))"""
 
 
-def score_pairs(spark, d):
-    """(pos_id, p, n): the TransE score of every triple and of one corrupted tail."""
+def score_pairs(spark, d, many=None):
+    """(pos_id, p, n): the TransE score of every triple and of one or `many` corrupted tails."""
     t = stage(triples(spark, d), "triples")
     pool = stage(sampling.entity_pool(t), "pool")
     v, rel = stage(vectors(spark, d), "vectors"), stage(relation_vectors(spark, d), "relations")
-    neg = sampling.corrupt(t.withColumn("size", F.lit(pool.count())), t, "t", pool, "size", "idx").where("value is not null")
+    todo = t.withColumn("size", F.lit(pool.count()))
+    todo = todo.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(many)))) if many else todo
+    neg = sampling.corrupt(todo, t, "t", pool, "size", "idx", number="j" if many else None).where("value is not null")
     p = L.score_rows(L.with_vectors(t, v, rel).select("h", "t", "r", "hv", "rv", "tv"), S.transe, "p")
     n = L.score_rows(L.with_vectors(neg, v, rel, ("h", "value")).select("h", "t", "r", "hv", "rv", "tv"), S.transe, "n")
     return p.join(n, ["h", "t", "r"]).select(F.concat_ws("-", "h", "t", "r").alias("pos_id"), "p", "n")
@@ -150,18 +168,30 @@ def triple_threshold(spark, d):
     return L.best_threshold(both).select("threshold", F.round("accuracy", 8).alias("accuracy"))
 
 
+_MANY_NEG = """ents as (select h as e from tri union select t from tri), pool as (select e as value, row_number() over (order by e) - 1 as idx from ents), sz as (select count(*) as size from ents),
+tj as (select tri.*, j from tri, unnest(range(1, 26)) as w(j)),
+n1 as (select tj.*, k, value from tj, sz, unnest(range(4)) as u(k) join pool on idx = (h * 31 + t * 17 + r * 7 + j * 104729 + k * 7919) % size),
+g1 as (select h, t, r, j, value from n1 where not exists (select 1 from tri x where x.h = n1.h and x.t = n1.value and x.r = n1.r) qualify row_number() over (partition by h, t, r, j order by k) = 1),
+t2 as (select tj.* from tj anti join g1 using (h, t, r, j)),
+n2 as (select t2.*, k, value from t2, sz, unnest(range(4, 64)) as u(k) join pool on idx = (h * 31 + t * 17 + r * 7 + j * 104729 + k * 7919) % size),
+g2 as (select h, t, r, j, value from n2 where not exists (select 1 from tri x where x.h = n2.h and x.t = n2.value and x.r = n2.r) qualify row_number() over (partition by h, t, r, j order by k) = 1),
+ng as (select * from g1 union all select * from g2)"""
+_MANY_PAIR = _PAIR.replace(_NEG, _MANY_NEG).replace("pn as (select p, n from", "pn as (select h, t, r, p, n from")
 _SP = "greatest({0}, 0) + ln(1 + exp(-abs({0})))"
 
 
-@R.add("losses", f"with {_PAIR} select round(avg(greatest(p - n, -5)) + 5, 6) as margin, round((avg({_SP.format('p')}) + avg({_SP.format('(-n)')})) / 2, 6) as softplus, round((avg({_SP.format('p')}) + avg({_SP.format('(-n)')})) / 2, 6) as adversarial from pn")
+@R.add("losses", f"""with {_MANY_PAIR}, per as (select h, t, r, avg(greatest(p - n, -5)) as m, avg({_SP.format('p')}) as a, avg({_SP.format('(-n)')}) as b, sum(exp(-n) * ({_SP.format('(-n)')})) / sum(exp(-n)) as c from pn group by h, t, r)
+select round(avg(m) + 5, 6) as margin, round((avg(a) + avg(b)) / 2, 6) as softplus, round((avg(a) + avg(c)) / 2, 6) as adversarial from per""")
 def losses(spark, d):
-    """Margin, softplus and self-adversarial losses (GL19, GL20); with one negative its weight is 1."""
-    return L.losses(score_pairs(spark, d), 5.0).select(*(F.round(c, 6).alias(c) for c in ("margin", "softplus", "adversarial")))
+    """Margin, softplus and self-adversarial losses over 25 negatives a triple (GL19, GL20)."""
+    return L.losses(score_pairs(spark, d, 25), 5.0).select(*(F.round(c, 6).alias(c) for c in ("margin", "softplus", "adversarial")))
 
 
-@R.add("regularisation", f"with {_BASE}, q as (select list_dot_product(a.vec, a.vec) / 100 as x, list_dot_product(rel.vec, rel.vec) / 100 as y, list_dot_product(b.vec, b.vec) / 100 as z {_TRI3}) select round((avg(x) + avg(y) + avg(z)) / 3, 8) as squares from q")
+@R.add("regularisation", f"with {_BASE}, q as (select list_dot_product(a.vec, a.vec) / 100 as x, list_dot_product(rel.vec, rel.vec) / 100 as y, list_dot_product(b.vec, b.vec) / 100 as z {_TRI3}) select round((avg(x) + avg(y) + avg(z)) / 3, 8) as squares, (select round(sum(list_sum(list_transform(vec, lambda x: abs(x) ** 3))), 4) from v) + (select round(sum(list_sum(list_transform(vec, lambda x: abs(x) ** 3))), 4) from rel) as cubes from q")
 def regularisation(spark, d):
-    """The mean of mean squares of heads, relations and tails (AG27)."""
+    """The mean of mean squares of heads, relations and tails; the cubed 3-norms of all entity and relation vectors (AG27)."""
+    cube = lambda v: v.agg(F.round(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x), F.lit(3.0)))), 4).alias("c"))
+    cubes = cube(vectors(spark, d)).unionByName(cube(relation_vectors(spark, d))).agg(F.sum("c").alias("cubes"))
     j = L.with_vectors(triples(spark, d), vectors(spark, d), relation_vectors(spark, d))
     sq = lambda c: F.avg(V.dot(F.col(c), F.col(c)) / F.size(c))
-    return j.agg(F.round((sq("hv") + sq("rv") + sq("tv")) / 3, 8).alias("squares"))
+    return j.agg(F.round((sq("hv") + sq("rv") + sq("tv")) / 3, 8).alias("squares")).join(F.broadcast(cubes))

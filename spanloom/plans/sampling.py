@@ -17,9 +17,11 @@ def tri(spark, d):
     return stage(table(spark, d, "triples").where("r is not null").select("h", "t", "r").distinct(), "triples")
 
 
-@R.add("split_9_1", "with a as (select distinct readme_id from readmes), n as (select count(*) as n from a), o as (select readme_id, row_number() over (order by (readme_id * 7919 + 13) % 100003, readme_id) - 1 as p from a) select readme_id, case when p < n // 10 * 9 then 'train' else 'valid' end as part from o, n")
+@R.add("split_9_1", "with a as (select distinct readme_id from readmes), n as (select count(*) as n from a), o as (select readme_id, row_number() over (order by (readme_id * 7919 + 13) % 100003, readme_id) - 1 as p from a) select readme_id, case when p < n // 10 * 9 then 'train' else 'valid' end as part from o, n union all select readme_id, 'test' from a")
 def split_9_1(spark, d):
-    return S.split_train(table(spark, d, "readmes").select("readme_id").distinct(), "readme_id")
+    """Train and valid, and a test part that is a full copy, as the pipeline's is (GL1)."""
+    ids = table(spark, d, "readmes").select("readme_id").distinct()
+    return S.split_train(ids, "readme_id").unionByName(ids.withColumn("part", F.lit("test")))
 
 
 _HASH3 = "(h * 31 + t * 17 + r * 7) % 100003"
@@ -98,11 +100,19 @@ c as (select a.r as r, b.r as r2, count(*) as both_n from hr a join hr b on a.h
 @R.add("relation_softmax", f"{_SOFT} select r, r2, round(exp(-dist / 0.5) / sum(exp(-dist / 0.5)) over (partition by r), 10) as prob from s")
 def relation_softmax(spark, d):
     """How likely a relation is replaced by another, by the heads they share (SC18, GL11)."""
+    return S.softmax_rows(relation_distances(spark, d), "r", "dist", 0.5).select("r", "r2", F.round("prob", 10).alias("prob"))
+
+
+def relation_distances(spark, d):
+    """(r, r2, dist): one less the share of the heads of r that r2 has too; eleven relations at most a head."""
     hr = table(spark, d, "triples").where("r is not null").select("h", "r").distinct()
     n = hr.groupBy("r").agg(F.count("*").alias("n"))
     c = hr.join(hr.withColumnRenamed("r", "r2"), "h").where("r <> r2").groupBy("r", "r2").agg(F.count("*").alias("c"))
-    s = c.join(n, "r").select("r", "r2", (1 - F.col("c") / F.col("n")).alias("dist"))
-    return S.softmax_rows(s, "r", "dist", 0.5).select("r", "r2", F.round("prob", 10).alias("prob"))
+    return c.join(n, "r").select("r", "r2", (1 - F.col("c") / F.col("n")).alias("dist"))
+
+
+def relation_weights(spark, d):
+    return relation_distances(spark, d).select("r", "r2", F.exp(-F.col("dist") / 0.5).alias("w"))
 
 
 @R.add("weighted_pick", f"with {_TRI}, w as (select r, t, count(*)::double as w from tri group by r, t) select r, arg_min(t, (-ln(((t * 7919 + r * 104729) % 100003 + 0.5) / 100003) / w, t)) as t from w group by r")
@@ -125,23 +135,70 @@ def test_negatives(spark, d):
     return tails.unionByName(half("h", 1).select("h", "t", "r", F.col("value").alias("nh"), F.col("t").alias("nt")))
 
 
-@R.add("training_batches")
+MANY = 25  # negatives of a triple
+_TRAIN = f"""with {_TRI}, {_POOL}, pr as (select r, (count(*)::double / count(distinct t)) / (count(*)::double / count(distinct t) + count(*)::double / count(distinct h)) as p from tri group by r),
+tj as (select tri.*, j, {_HASH3} % 100 as batch from tri, unnest(range(1, {MANY + 1})) as u(j)), sd as (select tj.*, {{side}} as tail from tj join pr using (r)),
+c1 as (select sd.*, k, value from sd, sz, unnest(range(4)) as u(k) join pool on idx = ({_N0} + j * 104729 + k * 7919) % size), {{free1}},
+s2 as (select sd.* from sd anti join n1 using (h, t, r, j)),
+c2 as (select s2.*, k, value from s2, sz, unnest(range(4, 64)) as u(k) join pool on idx = ({_N0} + j * 104729 + k * 7919) % size), {{free2}},
+ng as (select * from n1 union all select * from n2)
+select batch::int as batch, h, t, r, 0 as neg_no, h as bh, t as bt, 1 as y from sd where j = 1 union all select batch::int, h, t, r, j::int, bh, bt, -1 from ng"""
+
+_FREE = """n{i} as (select h, t, r, j, batch, case when tail then h else value end as bh, case when tail then value else t end as bt from c{i} c where not exists (select 1 from tri x where x.h = case when tail then c.h else c.value end and x.t = case when tail then c.value else c.t end and x.r = c.r)
+    qualify row_number() over (partition by h, t, r, j order by k) = 1)"""
+
+
+def _train_sql(side: str) -> str:
+    return _TRAIN.format(side=side, free1=_FREE.format(i=1), free2=_FREE.format(i=2))
+
+
+def negatives(t, many, side):
+    """(h, t, r, j, nh, nt): `many` filtered negatives of each triple; side, a column over h, t, r and j, is true for tails."""
+    pool = stage(S.entity_pool(t), "pool")
+    n, out = pool.count(), None
+    each = stage(t.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(many)))).withColumn("tail", side), "sides")
+    for s, flag in (("t", "tail"), ("h", "not tail")):
+        x = S.corrupt(each.where(flag).drop("tail").withColumn("size", F.lit(n)), t.select("h", "t", "r"), s, pool, "size", "idx", number="j").where("value is not null")
+        x = x.select("h", "t", "r", "j", (F.col("h") if s == "t" else F.col("value")).alias("nh"), (F.col("value") if s == "t" else F.col("t")).alias("nt"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _batches(t, neg):
+    batch = (F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7, F.lit(100003)) % 100).cast("int").alias("batch")
+    pos = t.select(batch, "h", "t", "r", F.lit(0).alias("neg_no"), F.col("h").alias("bh"), F.col("t").alias("bt"), F.lit(1).alias("y"))
+    return pos.unionByName(neg.select(batch, "h", "t", "r", F.col("j").alias("neg_no"), F.col("nh").alias("bh"), F.col("nt").alias("bt"), F.lit(-1).alias("y")))
+
+
+_U = f"({_HASH3} * 7919 + j * 104729) % 100003"
+
+
+@R.add("training_batches", _train_sql(f"(({_U}) + 0.5::double) / 100003 < p"))
 def training_batches(spark, d):
     """A long training table (GL7, GL12, D25): batch, positive, number of the negative, triple, label; heads and tails by the Bernoulli rule."""
     t = tri(spark, d)
-    pool = stage(S.entity_pool(t), "pool")
-    n = pool.count()
-    prob = S.bernoulli(G.mapping_stats(t))
-    u = (F.pmod(F.xxhash64("h", "t", "r"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    sided = stage(t.join(F.broadcast(prob), "r").withColumn("tail", u < F.col("tail_prob")).select("h", "t", "r", "tail"), "sides")
-    neg = None
-    for side, flag in (("t", "tail"), ("h", "not tail")):
-        x = S.corrupt(sided.where(flag).select("h", "t", "r").withColumn("size", F.lit(n)), t, side, pool, "size", "idx").where("value is not null")
-        x = x.select("h", "t", "r", (F.col("h") if side == "t" else F.col("value")).alias("nh"), (F.col("value") if side == "t" else F.col("t")).alias("nt"))
-        neg = x if neg is None else neg.unionByName(x)
-    batch = F.pmod(F.xxhash64("h", "t", "r"), F.lit(100)).cast("int").alias("batch")
-    pos = t.select(batch, "h", "t", "r", F.lit(0).alias("neg_no"), F.col("h").alias("bh"), F.col("t").alias("bt"), F.lit(1).alias("y"))
-    return pos.unionByName(neg.select(batch, "h", "t", "r", F.lit(1).alias("neg_no"), F.col("nh").alias("bh"), F.col("nt").alias("bt"), F.lit(-1).alias("y")))
+    p = F.broadcast(S.bernoulli(G.mapping_stats(t)))
+    u = (F.pmod(F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7, F.lit(100003)) * 7919 + F.col("j") * 104729, F.lit(100003)) + 0.5) / 100003
+    return _batches(t, negatives(t.join(p, "r").select("h", "t", "r", "tail_prob"), MANY, u < F.col("tail_prob")))
+
+
+@R.add("training_batches_cross", _train_sql("batch % 2 = 1"))
+def training_batches_cross(spark, d):
+    """The same in cross sampling: batches of corrupted heads and of corrupted tails by turns (GL12)."""
+    t = tri(spark, d)
+    turn = F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7, F.lit(100003)) % 100 % 2 == 1
+    return _batches(t, negatives(t, MANY, turn))
+
+
+@R.add("corrupt_relation_weighted", f"""{_SOFT}, w as (select r, r2, exp(-dist / 0.5) as w from s), fr as (select tri.*, r2, w from tri join w using (r) where not exists (select 1 from tri x where x.h = tri.h and x.t = tri.t and x.r = w.r2))
+select h, t, r, arg_min(r2, (-ln(((h * 7919 + t * 104729 + r2 * 1299709) % 100003 + 0.5::double) / 100003) / w, r2)) as value from fr group by h, t, r""")
+def corrupt_relation_weighted(spark, d):
+    """A new relation drawn by the softmax of relation similarity among those that make no known triple (GL11, SC18)."""
+    t = tri(spark, d)
+    w = F.broadcast(relation_weights(spark, d))
+    free = t.join(w, "r").join(t.withColumnRenamed("r", "r2"), ["h", "t", "r2"], "left_anti")
+    u = (F.pmod(F.col("h") * 7919 + F.col("t") * 104729 + F.col("r2") * 1299709, F.lit(100003)) + 0.5) / 100003
+    return free.groupBy("h", "t", "r").agg(F.min_by("r2", F.struct((-F.log(u) / F.col("w")).alias("key"), "r2")).alias("value"))
 
 
 @R.add("walk_sample")

@@ -175,12 +175,12 @@ def enrich_additive(spark, d):
     return e.select("item_id", "term", F.round("weight", 8).alias("weight"))
 
 
-@R.add("payload_complete", f"""with {_STRUCT}, {_UNSTRUCT}, {_ANSWER}, k as (select item_id, (row_number() over (partition by item_id order by score desc, repo))::int as rank, repo, score from {_comb('0.35::double')} qualify rank <= 3),
+@R.add("payload_complete", f"""with {_STRUCT}, {_UNSTRUCT}, {_ANSWER}, k as (select item_id, (row_number() over (partition by item_id order by score desc, repo))::int as rank, repo, score from {_comb('0.35::double')} qualify rank <= 20),
 keys as (select distinct lower(regexp_extract(u, '([^/:]+)/[^/]+$', 1) || '#' || regexp_extract(u, '([^/]+)$', 1)) as key from (select regexp_replace(trim(git_url), '(\\.git)?/*$', '') as u from repositories where git_url is not null)),
 shown as (select repo, key from lib2 where key in (select key from keys)), j as (select k.*, key, min(case when key is null then 0 else 1 end) over (partition by item_id) as ok from k left join shown using (repo)) select item_id, rank, repo, key from j where ok = 1""")
 def payload_complete(spark, d):
-    """Results with what is shown of them, all or nothing per query: a library without a record cannot be shown (JN18)."""
-    k = O.combined(structured(spark, d), unstructured(spark, d), 0.35, 3)
+    """The whole answers with what is shown of them, all or nothing per query: a library without a record cannot be shown (JN18)."""
+    k = O.combined(structured(spark, d), unstructured(spark, d), 0.35)
     lib = table(spark, d, "ent_embeddings").where("name like '$LIB%'").groupBy(F.col("ent_id").alias("repo")).agg(F.min(F.lower(F.regexp_replace("name", r"^\$LIB", ""))).alias("key"))
     keys = table(spark, d, "repositories").select(repo_key_any(F.col("git_url")).alias("key")).distinct()
     return O.complete_payloads(k, lib.join(keys, "key", "left_semi")).select("item_id", "rank", "repo", "key")

@@ -84,12 +84,17 @@ def nearest40(spark, d):
     return O.block_search(v.where("id % 20 = 0"), v, 100, least=1e-9, top=40).select("a", "rank", "b", F.round("sim", 8).alias("sim"))
 
 
-@R.add("greedy_clique")
+@R.add("greedy_clique", f"""with recursive {_SIM[5:]}, g as (select a, b, round(c, 9) as c, row_number() over (partition by a order by round(c, 9) desc, b) as i from p where 0.5 + 0.5 * c >= 0.7),
+bad as (select x.a, x.i, y.i as j from g x join g y on x.a = y.a and y.i < x.i join v s on s.id = x.b join v t on t.id = y.b where 0.5 + 0.5 * list_cosine_similarity(s.vec, t.vec) < 0.7),
+bl as (select a, i, list(j) as no from bad group by a, i),
+w as (select distinct a, 0::bigint as i, []::bigint[] as kept from g union all select w.a, w.i + 1, case when bl.no is not null and list_has_any(w.kept, bl.no) then w.kept else list_append(w.kept, w.i + 1) end from w join g on g.a = w.a and g.i = w.i + 1 left join bl on bl.a = w.a and bl.i = w.i + 1),
+k as (select a, arg_max(kept, i) as kept from w group by a)
+select k.a, list_position(kept, g.i)::int as rank, b, round(0.5 + 0.5 * c, 6) as sim from k join g on g.a = k.a and list_contains(kept, g.i)""")
 def greedy_clique(spark, d):
     """Similar terms that are similar to each other (WN10)."""
     v = stage(vectors(spark, d), "vectors")
     pairs = O.block_search(v.where("id % 20 = 0"), v, 100, least=2 * 0.7 - 1).select("a", "b", (0.5 + 0.5 * F.col("sim")).alias("sim"))
-    return O.greedy_cliques(pairs, v, 0.7)
+    return O.greedy_cliques(pairs, v, 0.7).withColumn("sim", F.round("sim", 6))
 
 
 @R.add("phrase_nearest", f"""with {VEC_SQL}, nm as (select ent_id, any_value(lower(regexp_replace(name, '^\\$(LIB|TOPIC|USER|NE\\d)', ''))) as nm from ent_embeddings where name like '$TOPIC%' group by ent_id),
