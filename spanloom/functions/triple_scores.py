@@ -23,10 +23,12 @@ def transe(h, r, t, p=1, normalise=True):
 def transe_all(fixed, r, ents, tail: bool):
     """transe (L1, normalised) of each row's fixed end and relation with every entity: (n, m), without repeating rows."""
     aim = unit(fixed) + unit(r) if tail else unit(fixed) - unit(r)
-    e = unit(ents)
-    out = np.zeros((len(aim), len(e)))
-    for s in range(0, len(aim), 16):
-        out[s : s + 16] = np.abs(aim[s : s + 16, None, :] - e[None, :, :]).sum(-1)
+    e = np.ascontiguousarray(unit(ents).T)
+    out, part = np.zeros((len(aim), e.shape[1])), np.empty_like(e)
+    for i in range(len(aim)):
+        np.subtract(e, aim[i][:, None], out=part)
+        np.abs(part, out=part)
+        part.sum(axis=0, out=out[i])
     return out
 
 

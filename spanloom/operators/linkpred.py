@@ -103,8 +103,11 @@ def _better(shared, score):
                 if not c.num_rows or not n:
                     continue
                 e, cid = _m(c, "vec"), c.column("id").to_numpy()
-                kinds = c.column("kinds").to_pylist()
-                of = {k: np.array([k in x for x in kinds]) for k in {int(r) * 2 + s for r in np.unique(ids["r"]) for s in (0, 1)}}
+                kinds = c.column("kinds")
+                held, size = kinds.flatten().to_numpy(zero_copy_only=False), np.diff(kinds.offsets.to_numpy())
+                wide = int(max(ids["r"].max() * 2 + 1, held.max() if len(held) else 0)) + 1
+                of = np.zeros((wide, len(cid)), bool)
+                of[held, np.repeat(np.arange(len(cid)), size)] = True
                 for q0 in range(0, n, 64):
                     q = slice(q0, min(n, q0 + 64))
                     m, w = q.stop - q0, len(cid)
@@ -117,8 +120,7 @@ def _better(shared, score):
                             got = np.round(score(h, spread(a["r2"]), t), 6).reshape(m, w)
                         better = (got < true[q][:, None]) & (cid[None, :] != own[q][:, None])
                         raw[q, s] += better.sum(1)
-                        fits = np.stack([of[int(r) * 2 + s] for r in ids["r"][q]])
-                        typed[q, s] += (better & fits).sum(1)
+                        typed[q, s] += (better & of[ids["r"][q] * 2 + s]).sum(1)
         if n:
             i = np.arange(n)
             for s in (0, 1):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanloom.functions import vector as V
+from spanloom.operators.vectors import cosine01_rows
 from spanloom.runtime import spread, stage
 
 
@@ -140,14 +140,14 @@ def structured_scores(terms: DataFrame, edges: DataFrame, vectors: DataFrame, re
         terms = terms.select("item_id", "ent", "cnt").unionByName(also).groupBy("item_id", "ent").agg(F.sum("cnt").alias("cnt"))
     asked = edges.join(terms.select("ent"), "ent", "left_semi").join(vectors.select(F.col("id").alias("ent"), F.col("vec").alias("ev")), "ent", "left")
     asked = asked.join(vectors.select(F.col("id").alias("repo"), F.col("vec").alias("rv")), "repo", "left").join(F.broadcast(relations.withColumnRenamed("vec", "lv")), "r", "left")
-    sim = asked.groupBy("ent", "repo").agg(F.sum(V.cosine01(V.subtract(F.col("ev"), F.col("lv")), F.col("rv"))).alias("sim"))
+    sim = cosine01_rows(asked.select("ent", "repo", "ev", "lv", "rv"), "ev", "rv", "lv").groupBy("ent", "repo").agg(F.sum("sim").alias("sim"))
     return terms.join(sim, "ent").groupBy("item_id", "repo").agg(F.sum(F.col("cnt") * F.col("sim")).alias("score"))
 
 
 def unstructured_scores(words: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFrame:
     """words(item_id, word, cnt), links(repo, word), vectors(name, vec) -> (item_id, repo, score): sum of cnt * cosine01."""
     asked = links.distinct().join(words.select("word"), "word", "left_semi").join(vectors.select(F.col("name").alias("word"), F.col("vec").alias("wv")), "word", "left")
-    sim = asked.join(vectors.select(F.col("name").alias("repo"), F.col("vec").alias("rv")), "repo", "left").select("word", "repo", V.cosine01(F.col("wv"), F.col("rv")).alias("sim"))
+    sim = cosine01_rows(asked.join(vectors.select(F.col("name").alias("repo"), F.col("vec").alias("rv")), "repo", "left").select("word", "repo", "wv", "rv"), "wv", "rv")
     return words.join(sim, "word").groupBy("item_id", "repo").agg(F.sum(F.col("cnt") * F.col("sim")).alias("score"))
 
 

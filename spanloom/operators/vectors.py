@@ -78,21 +78,53 @@ def _scan(shared, dim: int, least: float | None, top: int | None):
     return run
 
 
-def mean_vectors(df: DataFrame, key: str, column: str, dim: int) -> DataFrame:
-    """(key, vec): element-wise means of an INT key with few values: each batch leaves one sum a key, added up by position."""
+def mean_differences(triples: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """triples(h, t, r) distinct, vectors(id, vec) -> (r, vec): per relation the mean of tail - head over triples with both vectors.
+
+    A sum of differences is a sum of vectors, each as often as it is a tail less as often as it is a head: these counts
+    are added up by (r, entity) first, so a vector is read once a relation, not once a triple, and a hub is one row.
+    Relations are few; each batch leaves one sum a relation. Without triples there are no rows.
+    """
+    ids = vectors.select("id")
+    both = triples.join(ids.withColumnRenamed("id", "h"), "h", "left_semi").join(ids.withColumnRenamed("id", "t"), "t", "left_semi")
+    ends = F.explode(F.array(F.struct(F.col("t").alias("id"), F.lit(1).alias("c")), F.struct(F.col("h").alias("id"), F.lit(-1).alias("c"))))
+    c = both.select("r", ends.alias("e")).groupBy("r", F.col("e.id").alias("id")).agg(F.sum("e.c").alias("c"), F.count(F.when(F.col("e.c") > 0, 1)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                k, at = np.unique(b.column(key).to_numpy(), return_inverse=True)
+                k, at = np.unique(b.column("r").to_numpy(), return_inverse=True)
                 total = np.zeros((len(k), dim))
-                np.add.at(total, at, b.column(column).flatten().to_numpy().reshape(-1, dim))
-                yield pa.record_batch({"key": k.astype(np.int32), "total": pa.array(list(total), pa.list_(pa.float64())), "n": np.bincount(at).astype(np.int64)})
+                np.add.at(total, at, b.column("vec").flatten().to_numpy().reshape(-1, dim) * b.column("c").to_numpy()[:, None])
+                yield pa.record_batch({"r": k.astype(np.int32), "total": pa.array(list(total), pa.list_(pa.float64())), "n": np.bincount(at, b.column("n").to_numpy()).astype(np.int64)})
+
+    sums = c.join(vectors, "id").select("r", "c", "n", "vec").mapInArrow(run, "r int, total array<double>, n long")
+    x = sums.select("r", "n", F.posexplode("total").alias("i", "x")).groupBy("r", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    p = x.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
+    return p.select("r", F.transform("p", lambda v: v["x"]).alias("vec"))
 
-    sums = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, column).mapInArrow(run, "key int, total array<double>, n long")
-    x = sums.select("key", "n", F.posexplode("total").alias("i", "x")).groupBy("key", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
-    p = x.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
-    return p.select(F.col("key").alias(key), F.transform("p", lambda v: v["x"]).alias("vec"))
+
+def cosine01_rows(rows: DataFrame, a: str, b: str, less: str | None = None, name: str = "sim") -> DataFrame:
+    """The other columns of rows and `name`: 0.5 + 0.5 * cosine of a (minus `less`) and b, arrays of one size; 0 where one is null or all zeros."""
+    used = [a, b, *([less] if less else [])]
+    keep = [c for c in rows.columns if c not in used]
+    schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c in keep) + f", {name} double"
+    there = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(less).isNotNull() if less else F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = np.zeros(batch.num_rows)
+            at = np.flatnonzero(batch.column("_there").to_numpy(zero_copy_only=False))
+            if len(at):
+                m = [batch.column(c).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for c in used]
+                x, y = (m[0] - m[2] if less else m[0]), m[1]
+                n = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+                out[at] = np.where(n > 0, 0.5 + 0.5 * np.einsum("nd,nd->n", x, y) / np.where(n > 0, n, 1), 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], [*keep, name])
+
+    return rows.withColumn("_there", there).mapInArrow(run, schema)
 
 
 def greedy_cliques(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:

@@ -82,19 +82,36 @@ def query_entities(spark, d):
 SAME = 4  # SameToNE: the id these triples leave free below RelateToNE (5 .. 10); only edges from asked entities are followed
 
 
-def structured(spark, d):
-    edges = triples(spark, d).where("r = 3 or r >= 5").select(F.col("h").alias("repo"), F.col("t").alias("ent"), "r")
-    same = triples(spark, d).where(F.col("r") == SAME).select(F.col("h").alias("ent"), F.col("t").alias("other"))
-    return O.structured_scores(query_entities(spark, d), edges, stage(vectors(spark, d), "vectors"), relation_vectors(spark, d), same)
+class Parts:
+    """What both channels of a search read, written once: distinct triples of the kinds used, vectors, relation vectors."""
 
+    def __init__(self, spark, d):
+        self.triples, self.vectors = stage(triples(spark, d), "triples"), stage(vectors(spark, d), "vectors")
+        self.relations = relation_vectors(spark, d, self.triples, self.vectors)
 
-def unstructured(spark, d):
+
+def structured(spark, d, parts=None):
+    parts = parts or Parts(spark, d)
+    edges = parts.triples.where("r = 3 or r >= 5").select(F.col("h").alias("repo"), F.col("t").alias("ent"), "r")
+    same = parts.triples.where(F.col("r") == SAME).select(F.col("h").alias("ent"), F.col("t").alias("other"))
+    return O.structured_scores(query_entities(spark, d), edges, parts.vectors, parts.relations, same)
+
+
+def unstructured(spark, d, parts=None):
+    t, v = (parts.triples, parts.vectors) if parts else (triples(spark, d), stage(vectors(spark, d), "vectors"))
     topics = table(spark, d, "ent_embeddings").where("name like '$TOPIC%'").groupBy("ent_id").agg(F.min(F.lower(F.regexp_replace("name", r"^\$TOPIC", ""))).alias("w"))
-    links = triples(spark, d).where("r = 3").join(topics.withColumnRenamed("ent_id", "t"), "t").select(F.col("h").cast("string").alias("repo"), F.concat_ws("|", F.col("t").cast("string"), "w").alias("word"), "w").distinct()
-    v = stage(vectors(spark, d), "vectors")
+    topics = stage(topics, "topics")
+    links = t.where("r = 3").join(topics.withColumnRenamed("ent_id", "t"), "t").select(F.col("h").cast("string").alias("repo"), F.concat_ws("|", F.col("t").cast("string"), "w").alias("word")).distinct()
     named = v.select(F.col("id").cast("string").alias("name"), "vec").unionByName(v.join(topics.withColumnRenamed("ent_id", "id"), "id").select(F.concat_ws("|", F.col("id").cast("string"), "w").alias("name"), "vec"))
-    words = query_words(spark, d).join(links.select("w", F.col("word").alias("node")).distinct(), F.col("word") == F.col("w")).select("item_id", F.col("node").alias("word"), "cnt")
-    return O.unstructured_scores(words, links.select("repo", "word"), named).withColumn("repo", F.col("repo").cast("long"))
+    node = topics.select("w", F.concat_ws("|", F.col("ent_id").cast("string"), "w").alias("node"))
+    words = query_words(spark, d).join(node, F.col("word") == F.col("w")).select("item_id", F.col("node").alias("word"), "cnt")
+    return O.unstructured_scores(words, links, named).withColumn("repo", F.col("repo").cast("long"))
+
+
+def channels(spark, d):
+    """Both channels over the same parts."""
+    parts = Parts(spark, d)
+    return structured(spark, d, parts), unstructured(spark, d, parts)
 
 
 @R.add("search_structured", f"with {_STRUCT} select item_id, repo, round(score, 6) as score from sscore")
@@ -116,7 +133,7 @@ def _comb(alpha: str) -> str:
 @R.add("search_combined", f"with {_STRUCT}, {_UNSTRUCT} select item_id, (row_number() over (partition by item_id order by score desc, repo))::int as rank, repo, score from {_comb('0.35::double')} qualify rank <= 20")
 def search_combined(spark, d):
     """Both channels mixed at 0.35, best 20 (GL26, AG9, SL1)."""
-    return O.combined(structured(spark, d), unstructured(spark, d), 0.35)
+    return O.combined(*channels(spark, d), 0.35)
 
 
 _ANSWER = "lib2 as (select ent_id as repo, min(lower(regexp_replace(name, '^\\$LIB', ''))) as key from ent_embeddings where name like '$LIB%' group by ent_id)"
@@ -131,8 +148,9 @@ def alpha_sweep(spark, d):
     """success@20 and reciprocal ranks for mixing weights 0.35, 0.40, .. 0.95 in one plan (AG21)."""
     alphas = spark.range(7, 20).select(F.round(F.col("id") * 0.05, 2).alias("alpha"), (F.col("id") * 0.05).alias("x"))
     each = F.explode(F.transform(F.sequence(F.lit(7), F.lit(19)), lambda i: i * 0.05)).alias("x")
-    s = structured(spark, d).select("item_id", "repo", "score", each).select("x", "item_id", "repo", (F.col("x") * F.col("score")).alias("s"))
-    u = unstructured(spark, d).select("item_id", "repo", "score", each).select("x", "item_id", "repo", ((1 - F.col("x")) * F.col("score")).alias("s"))
+    s, u = channels(spark, d)
+    s = s.select("item_id", "repo", "score", each).select("x", "item_id", "repo", (F.col("x") * F.col("score")).alias("s"))
+    u = u.select("item_id", "repo", "score", each).select("x", "item_id", "repo", ((1 - F.col("x")) * F.col("score")).alias("s"))
     c = s.unionByName(u).groupBy(F.round("x", 2).alias("alpha"), "item_id", "repo").agg(F.round(F.sum("s"), 6).alias("score"))
     k = c.withColumn("rank", F.row_number().over(W.partitionBy("alpha", "item_id").orderBy(F.desc("score"), "repo"))).where("rank <= 20")
     lib = table(spark, d, "ent_embeddings").where("name like '$LIB%'").groupBy(F.col("ent_id").alias("repo")).agg(F.min(F.lower(F.regexp_replace("name", r"^\$LIB", ""))).alias("key"))
@@ -180,7 +198,7 @@ keys as (select distinct lower(regexp_extract(u, '([^/:]+)/[^/]+$', 1) || '#' ||
 shown as (select repo, key from lib2 where key in (select key from keys)), j as (select k.*, key, min(case when key is null then 0 else 1 end) over (partition by item_id) as ok from k left join shown using (repo)) select item_id, rank, repo, key from j where ok = 1""")
 def payload_complete(spark, d):
     """The whole answers with what is shown of them, all or nothing per query: a library without a record cannot be shown (JN18)."""
-    k = O.combined(structured(spark, d), unstructured(spark, d), 0.35)
+    k = O.combined(*channels(spark, d), 0.35)
     lib = table(spark, d, "ent_embeddings").where("name like '$LIB%'").groupBy(F.col("ent_id").alias("repo")).agg(F.min(F.lower(F.regexp_replace("name", r"^\$LIB", ""))).alias("key"))
     keys = table(spark, d, "repositories").select(repo_key_any(F.col("git_url")).alias("key")).distinct()
     return O.complete_payloads(k, lib.join(keys, "key", "left_semi")).select("item_id", "rank", "repo", "key")

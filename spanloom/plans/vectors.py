@@ -26,10 +26,9 @@ def triples(spark, d):
     return table(spark, d, "triples").where("r is not null").select("h", "t", "r").distinct()
 
 
-def relation_vectors(spark, d):
-    """(r, vec): the mean of tail - head over the distinct triples of each relation."""
-    j = _with_ends(spark, d).select("r", V.subtract(F.col("b"), F.col("a")).alias("x"))
-    return O.mean_vectors(j, "r", "x", 100).select("r", "vec")
+def relation_vectors(spark, d, t=None, v=None):
+    """(r, vec): the mean of tail - head over the distinct triples of each relation; a few rows, computed once."""
+    return stage(O.mean_differences(t if t is not None else triples(spark, d), v if v is not None else vectors(spark, d), 100), "relations")
 
 
 def _with_ends(spark, d):
