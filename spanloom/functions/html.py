@@ -15,15 +15,24 @@ _HEADS = ("h1", "h2", "h3", "h4", "h5")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr"}
 
 
+_INLINE = re.compile(r"`+([^`]+)`+|!\[[^\]\n]*\]\([^)\n]*\)|\[([^\]\n]*)\]\([^)\n]*\)|(\*\*|__)(?=\S)(.+?)(?<=\S)\3|(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*|(?<![\w_])_(?=\S)([^_\n]+?)(?<=\S)_(?!\w)")
+
+
+def _inline(x: str) -> str:
+    """The text of code spans, links and emphasis; images have none."""
+    return _INLINE.sub(lambda m: m[1] or m[2] or m[4] or m[5] or m[6] or "", x)
+
+
 def markdown_to_html(text: str) -> str:
-    """Headings, lists, paragraphs and raw HTML blocks; inline mark-up stays as text."""
+    """Headings, lists, paragraphs and raw HTML blocks; of inline mark-up the text stays: code, emphasis, images by nothing."""
     out, para, items = [], [], []
+    plain = lambda x: escape(_inline(x), quote=False)
 
     def flush() -> None:
         if para:
-            out.append("<p>" + escape(" ".join(para), quote=False) + "</p>")
+            out.append("<p>" + plain(" ".join(para)) + "</p>")
         if items:
-            out.append("<ul>" + "".join(f"<li>{escape(x, quote=False)}</li>" for x in items) + "</ul>")
+            out.append("<ul>" + "".join(f"<li>{plain(x)}</li>" for x in items) + "</ul>")
         para.clear()
         items.clear()
 
@@ -33,11 +42,11 @@ def markdown_to_html(text: str) -> str:
         item = re.match(r"^\s*[-*+]\s+(.*)$", line)
         if head:
             flush()
-            out.append(f"<h{len(head[1])}>{escape(head[2], quote=False)}</h{len(head[1])}>")
+            out.append(f"<h{len(head[1])}>{plain(head[2])}</h{len(head[1])}>")
         elif under and para:
             title, level = para.pop(), 1 if line[0] == "=" else 2
             flush()
-            out.append(f"<h{level}>{escape(title, quote=False)}</h{level}>")
+            out.append(f"<h{level}>{plain(title)}</h{level}>")
         elif item:
             if para:
                 flush()
@@ -87,22 +96,32 @@ class _Tree(HTMLParser):
 
 
 def sections(html: str | None) -> list[tuple[str, str, str]]:
-    """(tag, head, JSON list of texts and lists) of the siblings of each heading; text before the first heading has tag h."""
+    """(tag, head, JSON list of texts and lists) of the top-level elements that follow each heading up to the next.
+
+    A preamble with tag h comes first if an element stands before the first heading; it begins at the first paragraph,
+    wherever that is. Elements that are neither text nor list are empty texts. What has no heading gives no rows.
+    """
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    out: list[list] = []
-    for n in tree.top:
-        if n["tag"] in _HEADS:
-            out.append([n["tag"], n["text"].strip(), []])
-            continue
-        if not out:
-            out.append(["h", "", []])
-        if n["tag"] in ("p", "a"):
-            out[-1][2].append(n["text"].strip())
-        elif n["tag"] == "ul":
-            out[-1][2].append([x.strip() for x in n["items"]])
-    return [(a, b, json.dumps(c, ensure_ascii=False)) for a, b, c in out]
+    top = tree.top
+
+    def content(i: int) -> list:
+        out: list = []
+        for n in top[i:]:
+            if n["tag"] in _HEADS:
+                break
+            out.append(n["text"].strip() if n["tag"] in ("p", "a") else [x.strip() for x in n["items"]] if n["tag"] == "ul" else "")
+        return out
+
+    heads = [i for i, n in enumerate(top) if n["tag"] in _HEADS]
+    if not heads:
+        return []
+    rows = [(top[i]["tag"], top[i]["text"].strip(), content(i + 1)) for i in heads]
+    if heads[0] > 0:
+        first = next((i for i, n in enumerate(top) if n["tag"] == "p"), None)
+        rows.insert(0, ("h", "", content(first) if first is not None else []))
+    return [(a, b, json.dumps(c, ensure_ascii=False)) for a, b, c in rows]
 
 
 def section_rows(pages: DataFrame, markdown: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from spanloom import service
 from spanloom.operators import graph as G
 from spanloom.plans.registry import Registry
 from spanloom.runtime import table, work_dir
@@ -71,3 +72,58 @@ def source_type_constraint(spark, d):
     """Heads and tails of each relation in chunks (SC10)."""
     lines = S.type_constraint_lines(G.type_constraint(table(spark, d, "triples")))
     return lines.groupBy("r", "side").agg(F.sum(F.size("entities")).alias("n"))
+
+
+@R.add("source_embeddings", "select distinct name, len(vec) as dim, round(list_sum(vec), 6) as total from ent_embeddings where len(vec) = 100 and len(list_filter(vec, lambda x: isnan(x))) = 0 and name is not null")
+def source_embeddings(spark, d):
+    """Vectors as lines of a name and a JSON array (SC16)."""
+    p = _path(spark)
+    v = table(spark, d, "ent_embeddings").where("size(vec) = 100 and not exists(vec, x -> isnan(x)) and name is not null").dropDuplicates(["ent_id"])
+    S.write_cells(v, ["name", "vec"], p)
+    back = S.read_embeddings(spark, p)
+    return back.select("name", F.size("vec").cast("long").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total")).distinct()
+
+
+@R.add("source_stop_words", "select distinct word from (select unnest(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) as word from verification_samples)")
+def source_stop_words(spark, d):
+    """A word list, one a line, some with a prefix (SC20)."""
+    p = _path(spark)
+    w = table(spark, d, "verification_samples").select(F.explode(F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda x: x != "")).alias("w")).distinct()
+    w.select(F.when(F.length("w") % 2 == 0, F.concat(F.lit("$WORD"), "w")).otherwise(F.col("w")).alias("value")).write.text(p)
+    return S.read_stop_words(spark, p)
+
+
+@R.add("source_samples", r"""select row_number() over (order by query, answer) - 1 as item_id, query, answer from (select regexp_replace(query, '[\t\r\n]+', ' ', 'g') as query, answer from verification_samples where answer is not null)""")
+def source_samples(spark, d):
+    """Verification samples as tab-separated lines (SC21)."""
+    p = _path(spark)
+    S.write_cells(table(spark, d, "verification_samples").where("answer is not null"), ["query", "answer"], p)
+    return S.read_samples(spark, p)
+
+
+@R.add("source_graph_xml", "select 'node' as what, cast(ent_id as varchar) as a, any_value(name) as b from ent_embeddings where name is not null group by ent_id union all select distinct 'edge', cast(h as varchar), cast(t as varchar) from triples")
+def source_graph_xml(spark, d):
+    """A graph in the elements of GEXF, written and read by Spark's XML source (SC8)."""
+    p = _path(spark)
+    n = table(spark, d, "ent_embeddings").where("name is not null").groupBy(F.col("ent_id").cast("string").alias("id")).agg(F.first("name").alias("label"))
+    e = table(spark, d, "triples").select(F.col("h").cast("string").alias("source"), F.col("t").cast("string").alias("target")).distinct()
+    S.write_graph_xml(n, e, p)
+    nodes, edges = S.read_graph_xml(spark, f"{p}/*")
+    return nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("label").alias("b")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+@R.add("source_graph_tables", "select 'node' as what, count(*) as n from (select h from triples union select t from triples) union all select 'edge', count(*) from (select distinct h, t from triples)")
+def source_graph_tables(spark, d):
+    """A graph as two Parquet tables (SC7, SC19)."""
+    p, t = _path(spark), table(spark, d, "triples").select("h", "t")
+    S.write_graph(t.select(F.col("h").alias("id")).union(t.select("t")).distinct(), t.distinct(), p)
+    n, e = S.read_graph(spark, p)
+    return n.agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "n").unionByName(e.agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "n"))
+
+
+@R.add("valid_queries", "select item_id, query from verification_samples where trim(query) <> '' union select doc_id, head from documents where trim(head) <> ''")
+def valid_queries(spark, d):
+    """Queries that are answered: blank and null ones are rejected (PF17, SC22)."""
+    q = table(spark, d, "verification_samples").select("item_id", "query")
+    heads = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("head").alias("query"))
+    return service.valid_queries(q).unionByName(service.valid_queries(heads)).distinct()

@@ -163,11 +163,15 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
+def write_graph_xml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes(id, label), edges(source, target) as GEXF elements, in many files: <nodes> in path/nodes, <edges> in path/edges."""
+    for df, tag in ((nodes.select(F.col("id").alias("_id"), F.col("label").alias("_label")), "node"), (edges.select(F.col("source").alias("_source"), F.col("target").alias("_target")), "edge")):
+        df.write.format("xml").option("rootTag", f"{tag}s").option("rowTag", tag).mode("errorifexists").save(f"{path}/{tag}s")
+
+
 def read_graph_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label) and edges (source, target) of a GEXF file, by Spark's XML source."""
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     n = read("node", "_id string, _label string").select(F.col("_id").alias("id"), F.col("_label").alias("label"))
     e = read("edge", "_source string, _target string").select(F.col("_source").alias("source"), F.col("_target").alias("target"))
     return n.where("id is not null"), e.where("source is not null")
-
-
