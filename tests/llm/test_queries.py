@@ -2,10 +2,12 @@
 
 import math
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
 
+from spanloom import runtime
 from spanloom.llm.queries import R
 
 SF = "/root/testdata/sf0.001"
@@ -26,15 +28,6 @@ def duck():
     return c
 
 
-@pytest.fixture()
-def shared(spark, tmp_path):
-    """A shared folder, as a cluster names it."""
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    yield tmp_path
-    spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
-
-
 def rows(df, cols):
     return sorted(repr(tuple(map(norm, r))) for r in df.select(*cols).collect())
 
@@ -51,13 +44,13 @@ def test_query(spark, duck, name):
         assert got == sorted(repr(tuple(norm(x[names.index(c)]) for c in cols)) for x in r.fetchall())
 
 
-def test_staged_tables_go_to_the_shared_folder_and_are_deleted(spark, shared):
-    from spanloom import runtime
-
-    other = shared / "spanloom" / "another-application"
+def test_staged_tables_go_to_the_shared_folder_and_are_deleted(spark):
+    assert runtime.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    root = Path(runtime.shared_dir(spark).removeprefix("file://")) / "spanloom"
+    other = root / "another-application"
     other.mkdir(parents=True)
     assert R.queries["p3_found"](spark, SF).count() >= 0
-    own = shared / "spanloom" / spark.sparkContext.applicationId
+    own = root / spark.sparkContext.applicationId
     assert list(own.iterdir())
     runtime.purge(spark)
     assert not own.exists() and other.exists()
