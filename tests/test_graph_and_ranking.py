@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +157,20 @@ def test_block_search_in_several_blocks(spark):
     assert {(r["a"], r["rank"]): r["b"] for r in few.collect()} == {(i, k + 1): int(np.argsort(-s[i], kind="stable")[k]) for i in range(50) for k in range(3)}
 
 
+def test_a_task_of_the_block_search_leaves_its_best_rows_only():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, size=(6000, 4)).astype(float)  # many equal cosines
+    q = x[:600]
+    u = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    batch = lambda s: pa.record_batch({"id": pa.array(np.arange(s, s + 1500)), "vec": pa.array(list(x[s : s + 1500]), pa.list_(pa.float64()))})
+    shared = SimpleNamespace(value=(np.arange(600), u(q)))
+    got = [r for b in VO._scan(shared, 4, 1e-9, 5)(batch(s) for s in range(0, 6000, 1500)) for r in zip(*(b.column(c).to_pylist() for c in "ab"))]
+    sim = np.rint(u(q) @ u(x).T * 1e9)
+    np.fill_diagonal(sim[:, :600], -9e9)
+    want = {(i, int(j)) for i in range(600) for j in np.lexsort((np.arange(6000), -sim[i]))[:5] if sim[i, j] >= 1}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_score_models_against_plain_formulas():
     rng = np.random.default_rng(1)
     h, r, t = rng.normal(size=(3, 2, 6))
