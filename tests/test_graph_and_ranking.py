@@ -206,6 +206,31 @@ def test_ranks(spark):
     assert (r["raw"], r["filtered"], r["typed"]) == (3, 2, 2)
 
 
+def test_ranks_by_transe_score_equal_questions_once_and_cut_long_lists_of_links(spark):
+    rng = np.random.default_rng(5)
+    x, rel = rng.normal(size=(60, 6)), rng.normal(size=(2, 6))
+    x[50:] = x[:10]  # equal vectors: ties
+    known = sorted({(int(h), int(t), int(r)) for h, t, r in zip(rng.integers(0, 60, 300) // 4, rng.integers(0, 60, 300), rng.integers(0, 2, 300))} | {(k, 7, 1) for k in range(60)})
+    test = [k for k in known if (k[0] + k[1]) % 3 == 0]
+    df = lambda rows: spark.createDataFrame(rows, "h long, t long, r int")
+    ents = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, vec array<double>")
+    rels = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(rel)], "r int, vec array<double>")
+    got = {(g["h"], g["t"], g["r"], g["side"]): (g["raw"], g["filtered"], g["typed"]) for g in L.ranks(df(test), df(known), ents, rels, links_a_row=5).collect()}
+    want, there = {}, set(known)
+    for h, t, r in test:
+        for side in ("head", "tail"):
+            pair = lambda e: (e, t) if side == "head" else (h, e)  # noqa: B023, E731
+            s = {e: round(float(S.transe(x[[pair(e)[0]]], rel[[r]], x[[pair(e)[1]]])[0]), 6) for e in range(60)}
+            own = h if side == "head" else t
+            better = [e for e in range(60) if e != own and s[e] < s[own]]
+            fits = {k[0] if side == "head" else k[1] for k in known if k[2] == r}
+            want[h, t, r, side] = (1 + len(better), 1 + sum((*pair(e), r) not in there for e in better), 1 + len(fits & set(better)))
+    assert got == want
+    ids = {c: np.array([k[i] for k in test]) for i, c in enumerate("htr")}
+    side = L._Side(1, {"h2": x[ids["h"]], "r2": rel[ids["r"]], "t2": x[ids["t"]]}, ids, np.zeros(len(test)))
+    assert len(side.aim) == len({(h, r) for h, _, r in test}) < len(test)
+
+
 def test_threshold_and_losses(spark):
     s = spark.createDataFrame([(0.1, 1), (0.2, 1), (0.3, 0), (0.4, 1), (0.5, 0)], "score double, y int")
     r = L.best_threshold(s).first()
