@@ -152,11 +152,14 @@ def _train_sql(side: str) -> str:
     return _TRAIN.format(side=side, free1=_FREE.format(i=1), free2=_FREE.format(i=2))
 
 
-def negatives(t, many, side):
-    """(h, t, r, j, nh, nt): `many` filtered negatives of each triple; side, a column over h, t, r and j, is true for tails."""
+def negatives(t, many, tail):
+    """(h, t, r, j, nh, nt): `many` filtered negatives of each triple; tail(j), a column over h, t, r and j, is true for tails."""
     pool = stage(S.entity_pool(t), "pool")
-    n, out = pool.count(), None
-    each = stage(t.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(many)))).withColumn("tail", side), "sides")
+    n = pool.count()
+    if n <= S.MOST_SENT:
+        out, each = S.first_draws(t, pool, many, tail)
+    else:
+        out, each = None, stage(t.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(many)))).withColumn("tail", tail(F.col("j"))), "sides")
     for s, flag in (("t", "tail"), ("h", "not tail")):
         x = S.corrupt(each.where(flag).drop("tail").withColumn("size", F.lit(n)), t.select("h", "t", "r"), s, pool, "size", "idx", number="j").where("value is not null")
         x = x.select("h", "t", "r", "j", (F.col("h") if s == "t" else F.col("value")).alias("nh"), (F.col("value") if s == "t" else F.col("t")).alias("nt"))
@@ -178,8 +181,8 @@ def training_batches(spark, d):
     """A long training table (GL7, GL12, D25): batch, positive, number of the negative, triple, label; heads and tails by the Bernoulli rule."""
     t = tri(spark, d)
     p = F.broadcast(S.bernoulli(G.mapping_stats(t)))
-    u = (F.pmod(F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7, F.lit(100003)) * 7919 + F.col("j") * 104729, F.lit(100003)) + 0.5) / 100003
-    return _batches(t, negatives(t.join(p, "r").select("h", "t", "r", "tail_prob"), MANY, u < F.col("tail_prob")))
+    u = lambda j: (F.pmod(F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7, F.lit(100003)) * 7919 + j * 104729, F.lit(100003)) + 0.5) / 100003
+    return _batches(t, negatives(t.join(p, "r").select("h", "t", "r", "tail_prob"), MANY, lambda j: u(j) < F.col("tail_prob")))
 
 
 @R.add("training_batches_cross", _train_sql("batch % 2 = 1"))
@@ -187,7 +190,7 @@ def training_batches_cross(spark, d):
     """The same in cross sampling: batches of corrupted heads and of corrupted tails by turns (GL12)."""
     t = tri(spark, d)
     turn = F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7, F.lit(100003)) % 100 % 2 == 1
-    return _batches(t, negatives(t, MANY, turn))
+    return _batches(t, negatives(t, MANY, lambda j: turn))
 
 
 @R.add("corrupt_relation_weighted", f"""{_SOFT}, w as (select r, r2, exp(-dist / 0.5) as w from s), fr as (select tri.*, r2, w from tri join w using (r) where not exists (select 1 from tri x where x.h = tri.h and x.t = tri.t and x.r = w.r2))

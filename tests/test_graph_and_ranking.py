@@ -253,6 +253,28 @@ def test_enrichment_and_mix(spark):
     assert O.combined(s, u, 0.35).first()["score"] == pytest.approx(1.06)
 
 
+def test_negatives_are_drawn_where_the_triples_are(spark):
+    # A hub whose heads are nearly all known, and relations with few triples: first draws are known and unknown.
+    rows = [(k, 7, 0) for k in range(60) if k % 9] + [(k, (k * 5 + 1) % 60, 1) for k in range(60)]
+    t = spark.createDataFrame(rows, "h long, t long, r int")
+    tail = lambda j: (F.col("h") + j) % 2 == 0
+    pool = sampling.entity_pool(t).localCheckpoint()
+    sure, left = sampling.first_draws(t, pool, 6, tail)
+    assert "Exchange" not in sure._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    values = [r["value"] for r in pool.orderBy("idx").collect()]
+    want = {}
+    for h, x, r in rows:
+        for j in range(1, 7):
+            v = values[(h * 31 + x * 17 + r * 7 + j * 104729) % len(values)]
+            want[h, x, r, j] = (h, v) if (h + j) % 2 == 0 else (v, x)
+    there = set(rows)
+    free = {k: v for k, v in want.items() if (*v, k[2]) not in there}
+    got = {(r["h"], r["t"], r["r"], r["j"]): (r["nh"], r["nt"]) for r in sure.collect()}
+    rest = {(r["h"], r["t"], r["r"], r["j"]) for r in left.collect()}
+    assert got.items() <= free.items() and len(got) > 0.9 * len(free)
+    assert rest == set(want) - set(got) and all(r["tail"] == ((r["h"] + r["j"]) % 2 == 0) for r in left.collect())
+
+
 def test_reciprocal_ranks(spark):
     ranked = spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (2, 3, "z"), (3, 1, "q")], "item_id long, rank int, answer string")
     want = spark.createDataFrame([(1, "x"), (2, "z"), (3, "none")], "item_id long, answer string")
