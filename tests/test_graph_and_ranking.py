@@ -146,6 +146,27 @@ def test_greedy_clique(spark):
     assert got == {1: [2], 2: [1], 3: [1]}
 
 
+def test_cliques_are_formed_with_short_vectors_and_again_where_these_cannot_tell(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 5))
+    x[0], x[1], x[2] = [5, 0, 0, 0, 0], [4, 3, 0, 0, 0], [4, -3, 0, 0, 0]  # 1 and 2: cosine 7 / 25
+    df = lambda v: spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(v)], "id long, vec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for r in VO.short_vectors(df(x)).collect():
+        assert len(r["short"]) == 10 and np.abs(np.frombuffer(r["short"], np.int16) * r["step"] - u[r["b"]]).max() <= r["step"] * 0.5000001
+    for t in (0.64 - 1e-7, 0.64 + 1e-7, 0.8):
+        pairs = VO.block_search(df(x), df(x), 5, least=2 * t - 1).select("a", "b", (0.5 + 0.5 * F.col("sim")).alias("sim"))
+        got = {}
+        for r in VO.greedy_cliques(pairs, df(x), t).orderBy("a", "rank").collect():
+            got.setdefault(r["a"], []).append(r["b"])
+        sim = 0.5 + 0.5 * u @ u.T
+        for a in range(80):
+            kept = []
+            for b in sorted((b for b in range(80) if b != a and sim[a, b] >= t), key=lambda b: (-sim[a, b], b)):  # noqa: B023
+                kept += [b] if all(sim[b, k] >= t for k in kept) else []
+            assert got.get(a, []) == kept
+
+
 def test_block_search_in_several_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 4))
