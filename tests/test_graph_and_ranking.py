@@ -296,6 +296,19 @@ def test_negatives_are_drawn_where_the_triples_are(spark):
     assert rest == set(want) - set(got) and all(r["tail"] == ((r["h"] + r["j"]) % 2 == 0) for r in left.collect())
 
 
+def test_negatives_are_the_same_with_and_without_a_sent_pool(spark, monkeypatch):
+    from spanloom.plans.sampling import negatives
+
+    rows = [(k, 7, 0) for k in range(40) if k % 9] + [(k, (k * 5 + 1) % 40, 1) for k in range(40)]
+    t = spark.createDataFrame(rows, "h long, t long, r int")
+    turn = lambda j: (F.col("h") * 31 + F.col("t") * 17 + F.col("r") * 7) % 2 == 1
+    got = []
+    for most in (sampling.MOST_SENT, 0):
+        monkeypatch.setattr(sampling, "MOST_SENT", most)
+        got.append(sorted(map(tuple, negatives(t, 5, turn).select("h", "t", "r", "j", "nh", "nt").collect())))
+    assert got[0] == got[1] and len(got[0]) == 5 * len(rows)
+
+
 def test_reciprocal_ranks(spark):
     ranked = spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (2, 3, "z"), (3, 1, "q")], "item_id long, rank int, answer string")
     want = spark.createDataFrame([(1, "x"), (2, "z"), (3, "none")], "item_id long, answer string")
