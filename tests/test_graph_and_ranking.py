@@ -167,6 +167,16 @@ def test_cliques_are_formed_with_short_vectors_and_again_where_these_cannot_tell
             assert got.get(a, []) == kept
 
 
+def test_the_two_best_above_a_bound_leave_a_task_once():
+    rng = np.random.default_rng(6)
+    u = (x := rng.normal(size=(3000, 8))) / np.linalg.norm(x, axis=1, keepdims=True)
+    batch = lambda s: pa.record_batch({"id": pa.array(np.arange(s, s + 1000)), "vec": pa.array(list(x[s : s + 1000]), pa.list_(pa.float64()))})
+    got = [r for b in VO._scan(SimpleNamespace(value=(np.arange(100), u[:100])), 8, 0.9, 2)(batch(s) for s in (0, 1000, 2000)) for r in zip(*(b.column(c).to_pylist() for c in "ab"))]
+    sim = u[:100] @ u.T
+    np.fill_diagonal(sim[:, :100], -1)
+    assert sorted(got) == sorted((i, int(j)) for i in range(100) for j in np.argsort(-sim[i])[:2] if sim[i, j] >= 0.9)
+
+
 def test_block_search_in_several_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 4))
