@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -366,3 +368,36 @@ def test_tfidf_ways_agree(spark):
     get = lambda **kw: sorted(tuple(r) for r in O.top_documents(docs, t("text"), q, t("query"), 7, **kw).collect())
     want = get()
     assert want and get(most_terms=1) == want
+
+
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    from spanloom.runtime import discard, stage
+
+    before, kept = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    x = stage(spark.range(1000).selectExpr("id % 77 as k").groupBy("k").count())
+    assert x.count() == 77 and x.agg(F.sum("count")).first()[0] == 1000
+    assert len({n for n in _shuffle_files(spark) - before if n.endswith(".data")}) <= 8  # of the two counts here, of one row a task
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+    alone = _shuffle_files(spark)
+    y = stage(spark.range(1000).selectExpr("id % 77 as k").groupBy("k").count())
+    assert _shuffle_files(spark) <= alone
+    discard(x)
+    assert not os.path.exists(x._staged.removeprefix("file://")) and os.path.exists(y._staged.removeprefix("file://"))
+
+
+def test_the_filter_of_known_triples_travels_small(spark):
+    import pickle
+
+    t = spark.range(20_000).selectExpr("id as h", "id * 7 % 1000 as t", "cast(id % 5 as int) as r")
+    known = sampling.known_filter(t)
+    data = pickle.dumps(known)
+    assert len(data) < 0.6 * known.array.nbytes
+    h = np.arange(20_000)
+    for k in (known, pickle.loads(data)):
+        assert k.may(h, h * 7 % 1000, h % 5).all()
+        assert k.may(h, h * 7 % 1000 + 1000, h % 5).mean() < 0.01
