@@ -401,3 +401,19 @@ def test_the_filter_of_known_triples_travels_small(spark):
     for k in (known, pickle.loads(data)):
         assert k.may(h, h * 7 % 1000, h % 5).all()
         assert k.may(h, h * 7 % 1000 + 1000, h % 5).mean() < 0.01
+
+
+def test_a_tile_of_the_search_hands_on_few_of_its_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = VO._unit(np.abs(rng.normal(size=(2500, 8))))  # every cosine is above the bound
+    x[7] = x[900]  # a tie with a query's own vector
+    handed, add = [], VO._Best.add
+    monkeypatch.setattr(VO._Best, "add", lambda self, q, ids, sim: (handed.append(len(q)), add(self, q, ids, sim))[1])
+    rows = pa.record_batch({"id": np.arange(2500), "vec": pa.array(list(x), pa.list_(pa.float64()))})
+    shared = SimpleNamespace(value=(np.arange(600), x[:600]))
+    out = pa.Table.from_batches(list(VO._scan(shared, 8, 0.1, 2)([rows]))).to_pandas()
+    assert max(handed) <= 512 * 10
+    sim = np.rint((x[:600] @ x.T) * 1e9)
+    sim[np.arange(600), np.arange(600)] = -1e18
+    want = {(a, b) for a in range(600) for b in np.lexsort((np.arange(2500), -sim[a]))[:2]}
+    assert {(a, b) for a, b in zip(out["a"], out["b"])} == want
