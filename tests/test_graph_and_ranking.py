@@ -417,3 +417,20 @@ def test_a_tile_of_the_search_hands_on_few_of_its_rows(monkeypatch):
     sim[np.arange(600), np.arange(600)] = -1e18
     want = {(a, b) for a in range(600) for b in np.lexsort((np.arange(2500), -sim[a]))[:2]}
     assert {(a, b) for a, b in zip(out["a"], out["b"])} == want
+
+
+def test_parameters_are_averaged_in_blocks(spark):
+    rows = spark.range(2, numPartitions=2)
+    n = 3 * sgd._BLOCK + 5
+
+    def run(batches):
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                x = np.full((n, 2), 1.0 + i)
+                seen = np.ones(n, bool) if i else np.arange(n) % 2 == 0
+                yield from sgd._out({"e": (seen, x)}, 2.0, 4)
+
+    into, before = {"e": np.zeros((n, 2), np.float32)}, _shuffle_files(spark)
+    assert sgd._average(rows.mapInArrow(run, sgd._SCHEMA), into) == 0.5
+    assert (into["e"] == np.where(np.arange(n) % 2 == 0, 1.5, 2.0)[:, None]).all()
+    assert _shuffle_files(spark) <= before
