@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import by_key, stage
+from spanloom.runtime import by_key, discard, stage
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -172,7 +172,10 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     Sets are told apart by 128 bits of hash; ids are unique numbers given once, when the sets are written. Repeated
     rows of a record count once; null sets take no part.
     """
-    r = stage(records.withColumn("h", F.xxhash64("field", "toks")).withColumn("g", F.xxhash64("toks", F.lit(9))), "records").where("toks is not null")
+    written = stage(records.withColumn("h", F.xxhash64("field", "toks")).withColumn("g", F.xxhash64("toks", F.lit(9))), "records")
+    r = written.where("toks is not null")
     sets = stage(r.groupBy("field", "h", "g").agg(F.first("toks").alias("toks")).withColumn("id", F.monotonically_increasing_id()), "sets")
     members = r.select("field", "key", "h", "g").distinct().join(sets.select("field", "h", "g", "id"), ["field", "h", "g"])
-    return stage(members.select("field", "key", "id"), "members"), sets.select("field", "id", "toks")
+    members = stage(members.select("field", "key", "id"), "members")
+    discard(written)
+    return members, sets.select("field", "id", "toks")

@@ -177,3 +177,17 @@ def test_groups_and_link_counts(spark):
     sets = [(0, i, list("abcde")) for i in range(4)] + [(0, 9, list("abcdef")), (0, 10, list("uvwxyz"))]
     out = {r["key"]: (r["group"], r["links"]) for r in P.link_counts(spark.createDataFrame(sets, ITEMS), 0.7).collect()}
     assert out == {0: (0, 4), 1: (0, 4), 2: (0, 4), 3: (0, 4), 9: (9, 4), 10: (10, 0)}
+
+
+def test_classes_leave_no_staged_records(spark):
+    import os
+
+    from spanloom.llm.common import classes
+    from spanloom.runtime import work_dir
+
+    left = lambda: {n for n in os.listdir(work_dir(spark).removeprefix("file://")) if n.startswith("records-")}
+    os.makedirs(work_dir(spark).removeprefix("file://"), exist_ok=True)
+    before = left()
+    members, sets = classes(spark.sql("select 1 as field, 10 as key, array(1L, 2L) as toks union all select 1, 11, array(1L, 2L) union all select 1, 12, null"))
+    assert left() == before
+    assert members.count() == 2 and sets.count() == 1
