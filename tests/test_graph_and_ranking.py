@@ -264,6 +264,26 @@ def test_ranks_by_transe_score_equal_questions_once_and_cut_long_lists_of_links(
     assert len(side.aim) == len({(h, r) for h, _, r in test}) < len(test)
 
 
+def test_metrics_read_the_ranks_once(spark):
+    r = spark.range(40).selectExpr("if(id % 2 = 0, 'head', 'tail') as side", "id + 1 as raw", "id + 1 as filtered", "id div 2 + 1 as typed")
+    m = L.metrics(r)
+    assert m._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = {(x["side"], x["kind"]): (x["hits10"], x["mr"]) for x in m.collect()}
+    assert len(got) == 9 and got["both", "raw"] == (0.25, 20.5) and got["tail", "typed"] == (0.5, 10.5)
+
+
+@pytest.mark.parametrize("dim", [1, 7, 100])
+def test_distances_in_steps_keep_to_their_error(dim):
+    rng = np.random.default_rng(dim)
+    e = np.vstack([S.unit(rng.normal(size=(60, dim))), np.zeros((4, dim))])
+    aim = np.vstack([S.unit(rng.normal(size=(20, dim))) - S.unit(rng.normal(size=(20, dim))), 2 * np.eye(dim)[:1]])
+    for x in (e, e[60:]):
+        small = L._Small(x, 16)
+        got, error = small.distances(aim)
+        off = np.abs(got * small.step - np.abs(aim[:, None] - x[None]).sum(2))
+        assert (off <= error[:, None] + 1e-9).all() and error.max() < 0.02 * dim
+
+
 def test_threshold_and_losses(spark):
     s = spark.createDataFrame([(0.1, 1), (0.2, 1), (0.3, 0), (0.4, 1), (0.5, 0)], "score double, y int")
     r = L.best_threshold(s).first()
