@@ -49,6 +49,39 @@ def test_walk_counts(spark):
     assert {r["n0"] for r in w} == {"w:1", "w:2"} and all(r["n1"] == "r:1" for r in w)
 
 
+def _summed(near):
+    return near.groupBy("a").agg(F.count("*").alias("others"), F.sum("walks").alias("walks"), F.max("walks").alias("most"))
+
+
+@pytest.mark.parametrize("scale", [1, 2**40])
+@pytest.mark.parametrize("most, links_a_row", [(4_000_000, 50_000), (40, 5)])
+def test_reached_nodes_are_counted_without_their_pairs(spark, monkeypatch, scale, most, links_a_row):
+    rng = np.random.default_rng(2)
+    one = {(f"{a}:{i}", f"{b}:{j}") for a, b in ("wr", "wt", "rt") for i, j in rng.zipf(1.4, (120, 2)) % 23}
+    links = [(x, y, int(rng.integers(1, 9)) * scale) for x, y in sorted(one)]
+    links = spark.createDataFrame(links + [(y, x, c) for x, y, c in links], "src string, dst string, times long")
+    starts = spark.createDataFrame([(f"w:{i}",) for i in [*range(12), 99]], "a string")
+    paths = ["wrw", "wtw", "wrt"]
+    want = {(p, *r) for p in paths for r in _summed(M.neighbours(links, p, starts)).collect()} if scale == 1 else None
+    if want is None:  # sums beyond what a double holds exactly
+        want, links = set(), links.withColumn("times", F.when(F.col("src").startswith("w:"), F.col("times") + 1).otherwise(F.col("times") / 2**30).cast("long"))
+        want = {(p, *r) for p in paths for r in _summed(M.neighbours(links, p, starts)).collect()}
+    monkeypatch.setattr(M, "neighbours", None)
+    got = M.reached(links, paths, starts, most, links_a_row)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+    assert M.reached(links, paths, starts.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("length", [2, 4])
+def test_reached_along_longer_and_shorter_paths(spark, length):
+    rng = np.random.default_rng(length)
+    one = sorted({(f"{a}:{i}", f"{b}:{j}") for a, b in ("wr", "rw", "rr") for i, j in rng.integers(0, 9, (30, 2))})
+    links = spark.createDataFrame([(x, y, 1 + k % 3) for k, (x, y) in enumerate(one)], "src string, dst string, times long")
+    starts = spark.createDataFrame([(f"w:{i}",) for i in range(6)], "a string")
+    path = {2: "wr", 4: "wrrw"}[length]
+    assert {tuple(r) for r in M.reached(links, [path], starts).collect()} == {(path, *r) for r in _summed(M.neighbours(links, path, starts)).collect()}
+
+
 @pytest.mark.parametrize("side", ["t", "h", "r"])
 def test_corruption_finds_the_last_unknown_candidate(spark, side):
     # Every candidate but one or two is known; one draw is not enough to find them.
