@@ -317,6 +317,25 @@ def test_distances_in_steps_keep_to_their_error(dim):
         assert (off <= error[:, None] + 1e-9).all() and error.max() < 0.02 * dim
 
 
+def test_losses_in_slices_leave_nothing_behind(spark, monkeypatch):
+    from spanloom.plans import ranking
+    from spanloom.runtime import stage
+
+    rng = np.random.default_rng(6)
+    t = stage(spark.createDataFrame(sorted({(int(h), int(x), int(h + x) % 2) for h, x in rng.integers(0, 30, (200, 2))}), "h long, t long, r int"))
+    v = stage(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(28, 6)))], "id long, vec array<double>"))  # two without a vector
+    rel = stage(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(2, 6)))], "r int, vec array<double>"))
+    pool = stage(sampling.entity_pool(t))
+    want = L.losses(ranking.score_pairs(t, t, pool, pool.count(), v, rel, 4), 5.0).first()
+    seen, sums = [], L.loss_sums
+    monkeypatch.setattr(L, "loss_sums", lambda pairs, margin: (seen.append(1), sums(pairs, margin))[1])
+    at = os.path.dirname(t._staged.removeprefix("file://"))
+    before = set(os.listdir(at))
+    got = ranking._losses(t, pool, v, rel, 4, least=100).first()
+    assert len(seen) == -(-4 * t.count() // 100) > 3 and set(os.listdir(at)) == before
+    assert tuple(got) == pytest.approx(tuple(want), abs=1e-12)
+
+
 def test_threshold_and_losses(spark):
     s = spark.createDataFrame([(0.1, 1), (0.2, 1), (0.3, 0), (0.4, 1), (0.5, 0)], "score double, y int")
     r = L.best_threshold(s).first()
