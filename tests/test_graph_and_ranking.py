@@ -411,6 +411,59 @@ def test_training_losses_fall(spark):
         sgd.train_transe(t, 20, 1, most=5)
 
 
+def test_training_takes_all_negatives_of_all_rounds(spark, monkeypatch):
+    import inspect
+
+    from spanloom.plans import learning
+
+    want = inspect.signature(sgd.train_transe).parameters
+    assert {k: want[k].default for k in ("dim", "rounds", "rate", "margin", "negatives", "batches")} == {"dim": 200, "rounds": 1000, "rate": 1.0, "margin": 5.0, "negatives": 25, "batches": 100}
+    given = []
+    monkeypatch.setattr(learning.sgd, "train_transe", lambda *a, **k: (given.append((len(a), k)), (0, 0, [1.0]))[1])
+    learning.train_transe(spark, "/root/testdata/sf0.001")
+    assert given == [(3, {})]  # the registered query changes none of them
+    monkeypatch.undo()
+    rows = [(i, 40, 0) for i in range(39)] + [(i, 10 * (i // 10), 1) for i in range(40)]
+    t = spark.createDataFrame(rows, "h long, t long, r long").repartition(2)
+    for least in (2000, 20):  # one task, and two that are averaged
+        _, _, h = sgd.train_transe(t, 41, 2, dim=16, rounds=25, apart=10, least=least)
+        assert len(h) == 25 and h[-1] < h[9] < h[0]
+
+
+def test_negatives_of_the_training_are_unknown(spark):
+    t = spark.createDataFrame([(h, 7, 0) for h in range(20) if h != 5] + [(3, x, 1) for x in range(20)], "h long, t long, r int")
+    known, draw = sampling.known_filter(t), np.random.default_rng(1)
+    col = lambda v, n: np.full(n, v)
+    head = sgd._corrupted(known, col(2, 50), col(7, 50), col(0, 50), np.zeros(50, bool), 20, draw, most=2)
+    assert (head == 5).all()
+    assert (sgd._corrupted(known, col(3, 50), col(7, 50), col(1, 50), np.ones(50, bool), 20, draw) == -1).all()
+    tail = sgd._corrupted(known, col(2, 500), col(7, 500), col(0, 500), np.ones(500, bool), 20, draw)
+    assert set(tail) == set(range(20)) - {7}
+
+
+def test_a_step_of_the_training_goes_down_the_gradient():
+    rng = np.random.default_rng(0)
+    e, r = rng.normal(size=(7, 5)), rng.normal(size=(2, 5))
+    (x, y), z, w, tail = rng.integers(0, 7, (2, 6)), rng.integers(0, 2, 6), rng.integers(0, 7, (6, 4)), rng.random((6, 4)) < 0.5
+    w[2, 1] = -1
+
+    def loss(e, r):
+        other = lambda side, end: np.where(side[:, :, None], e[end][:, None], e[w])
+        d = S.unit(e)[x] + S.unit(r)[z] - S.unit(e)[y]
+        n = S.unit(other(tail, x)) + S.unit(r)[z][:, None] - S.unit(other(~tail, y))
+        return np.maximum(np.abs(d).sum(1)[:, None] - np.abs(n).sum(2) + 5, 0) * (w >= 0)
+
+    was = (e.copy(), r.copy())
+    got = sgd._step(e, r, x, y, z, w, tail, 1e-3, 5.0)
+    assert got == pytest.approx((loss(*was).sum(1) / (w >= 0).sum(1)).sum())
+    for k, now in enumerate((e, r)):
+        for i in np.ndindex(now.shape):
+            up, down = ([v.copy() for v in was] for _ in range(2))
+            up[k][i] += 1e-6
+            down[k][i] -= 1e-6
+            assert (was[k][i] - now[i]) / 1e-3 == pytest.approx((loss(*up).sum() - loss(*down).sum()) / 2e-6, abs=1e-4)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
