@@ -336,6 +336,27 @@ def test_losses_in_slices_leave_nothing_behind(spark, monkeypatch):
     assert tuple(got) == pytest.approx(tuple(want), abs=1e-12)
 
 
+def test_losses_are_made_where_the_triples_are(spark, monkeypatch):
+    from spanloom.plans import ranking
+    from spanloom.runtime import stage
+
+    rng = np.random.default_rng(7)
+    rows = {(int(h), int(x), int(h + x) % 2) for h, x in rng.integers(0, 30, (200, 2))} | {(3, x, 1) for x in range(30)} | {(4, x, 0) for x in range(28)} | {(5, 6, 2)}
+    t = stage(spark.createDataFrame(sorted(rows), "h long, t long, r int"))  # a head with all tails known, one with two free, a relation without a vector
+    vec = rng.normal(size=(29, 6))
+    vec[8] = 0
+    v = stage(spark.createDataFrame([(i + 40 * (i == 28), x.tolist()) for i, x in enumerate(vec)], "id long, vec array<double>").repartition(3))  # one of no entity
+    rel = stage(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(2, 6)))], "r int, vec array<double>"))
+    pool = stage(sampling.entity_pool(t))
+    want = L.losses(ranking.score_pairs(t, t, pool, pool.count(), v, rel, 4), 5.0).first()
+    monkeypatch.setattr(ranking, "score_pairs", None)  # no pair is joined with vectors
+    for chunk in (250_000, 7):
+        assert tuple(ranking._all_losses(t, pool, v, rel, 4, chunk=chunk).first()) == pytest.approx(tuple(want), abs=1e-12)
+    monkeypatch.setattr(L, "readable", lambda path: False)
+    monkeypatch.setattr(ranking, "_losses", lambda *a: "slices")
+    assert ranking._all_losses(t, pool, v, rel, 4) == "slices"
+
+
 def test_threshold_and_losses(spark):
     s = spark.createDataFrame([(0.1, 1), (0.2, 1), (0.3, 0), (0.4, 1), (0.5, 0)], "score double, y int")
     r = L.best_threshold(s).first()
