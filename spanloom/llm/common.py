@@ -166,16 +166,20 @@ def bitmap(tokens: np.ndarray, rec: np.ndarray, n: int, longs: int) -> np.ndarra
     return np.packbits(odd.reshape(n * longs, 64), axis=1, bitorder="little").view(np.int64).reshape(n, longs)
 
 
-def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(records: DataFrame, twice: bool = False) -> tuple[DataFrame, DataFrame]:
     """records(field INT, key, toks) -> members(field, key, id), sets(field, id, toks), both staged: equal sets are one.
 
     Sets are told apart by 128 bits of hash; ids are unique numbers given once, when the sets are written. Repeated
-    rows of a record count once; null sets take no part.
+    rows of a record count once; null sets take no part. twice: records are made a second time rather than written, where
+    that is cheap and their values are large.
     """
-    written = stage(records.withColumn("h", F.xxhash64("field", "toks")).withColumn("g", F.xxhash64("toks", F.lit(9))), "records")
-    r = written.where("toks is not null")
-    sets = stage(r.groupBy("field", "h", "g").agg(F.first("toks").alias("toks")).withColumn("id", F.monotonically_increasing_id()), "sets")
+    named = records.withColumn("h", F.xxhash64("field", "toks")).withColumn("g", F.xxhash64("toks", F.lit(9)))
+    r = named if twice else stage(named, "records")
+    # Nulls are dropped once they are grouped: a filter below would make the sets twice.
+    sets = r.groupBy("field", "h", "g").agg(F.first("toks").alias("toks")).where("toks is not null")
+    sets = stage(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     members = r.select("field", "key", "h", "g").distinct().join(sets.select("field", "h", "g", "id"), ["field", "h", "g"])
     members = stage(members.select("field", "key", "id"), "members")
-    discard(written)
+    if not twice:
+        discard(r)
     return members, sets.select("field", "id", "toks")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import Cells, bitmap, cells_for, classes, decoded, hashed_counts, lists, map_arrow, mix, words
 from spanloom.operators.graph import components
-from spanloom.runtime import spread
+from spanloom.runtime import discard, spread, stage
 
 _LONGS = 3  # of the bitmap that index entries carry
 
@@ -68,6 +68,26 @@ class Plan:
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
 
+    def slices(self, values: dict[int, int], most: int) -> list[tuple[range, int, int]]:
+        """(index bands, part, parts): at most some `most` slices of like work by the values of sets of each size; a band that
+        is too large for one is cut in parts by the names of its entries."""
+        of = np.bincount(self.band(np.array(list(values))), list(values.values()), minlength=len(self.segments)).tolist()
+        each, out, first, held = sum(of) / most, [], 0, 0
+        for i, n in enumerate(of):
+            if n > 1.5 * each:
+                out += [(range(first, i), 0, 1)] * (held > 0) + [(range(i, i + 1), k, math.ceil(n / each)) for k in range(math.ceil(n / each))]
+                first, held = i + 1, 0
+            elif held + n > 1.5 * each:
+                out.append((range(first, i), 0, 1))
+                first, held = i, n
+            else:
+                held += n
+        return out + [(range(first, len(of)), 0, 1)] * (held > 0)
+
+    def reach(self, bands: range) -> tuple[int, int]:
+        """The smallest and the largest size of sets that are in these index bands or meet them."""
+        return int(self.edges[bands[0]]), int(max(self.edges[j + 1] for i, j in self.pairs if i in bands) - 1)
+
     def most_apart(self, b: np.ndarray, highest_a: int) -> np.ndarray:
         """The most values in which a set of b values and one of at most b and highest_a values may differ."""
         return np.floor(self.c * (b + np.minimum(b, highest_a)) + 1e-9).astype(np.int64)
@@ -100,12 +120,15 @@ def _read(b: pa.RecordBatch):
     return b.column("field").to_numpy(), b.column("id").to_numpy(), tok.astype(np.int64).view(np.uint64), size
 
 
-def _members(plan: Plan, b: pa.RecordBatch, index: bool):
-    """(index band, record numbers, their segments): for the index, each set in its own band; else in those it has to meet."""
+def _members(plan: Plan, b: pa.RecordBatch, index: bool, bands: range | None = None):
+    """(index band, record numbers, their segments): for the index, each set in its own band; else in those it has to meet.
+    bands: these index bands only."""
     field, _, tok, size = _read(b)
     band = plan.band(size)
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     for i, j in plan.pairs:
+        if bands is not None and i not in bands:
+            continue
         pick = np.flatnonzero(band == j) if not index or i == j else ()
         if not index and i < j:
             pick = pick[plan.t * size[pick] <= plan.edges[i + 1] - 1 + 1e-9]
@@ -120,11 +143,14 @@ def _index_keys(plan: Plan, b: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([np.concatenate((c.full, c.less_gone)) for _, _, c in _members(plan, b, True)] or [np.zeros(0, np.uint64)])
 
 
-def _rows(keys: list, recs: list, b: pa.RecordBatch, met: Cells) -> pa.Table | None:
-    """Entries whose cell of `met`, the counts of the other side, is not zero: the others meet nothing."""
+def _rows(keys: list, recs: list, b: pa.RecordBatch, met: Cells, part: int, parts: int) -> pa.Table | None:
+    """Entries of a part whose cell of `met`, the counts of the other side, is not zero: the others meet nothing."""
     if not keys:
         return None
     key, rec = np.concatenate(keys), np.concatenate(recs)
+    if parts > 1:
+        mine = mix(key, 6) % np.uint64(parts) == part
+        key, rec = key[mine], rec[mine]
     keep = met.of(key) > 0
     key, rec = key[keep], rec[keep]
     _, ids, tok, size = _read(b)
@@ -132,20 +158,20 @@ def _rows(keys: list, recs: list, b: pa.RecordBatch, met: Cells) -> pa.Table | N
     return pa.table({"sig": key.view(np.int64), "id": ids[rec], "n": size[rec].astype(np.int32)} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
 
 
-def _index(plan: Plan, probes, b: pa.RecordBatch) -> pa.Table | None:
+def _index(plan: Plan, probes, of: tuple[range, int, int], b: pa.RecordBatch) -> pa.Table | None:
     keys, recs = [], []
-    for _, pick, c in _members(plan, b, True):
+    for _, pick, c in _members(plan, b, True, of[0]):
         keys += [c.full, c.less_gone]
         recs += [np.repeat(pick, c.m), pick[c.at // c.m]]
-    return _rows(keys, recs, b, probes.value)
+    return _rows(keys, recs, b, probes.value, *of[1:])
 
 
-def _met(plan: Plan, counts: Cells, b: pa.RecordBatch) -> tuple[list, list]:
+def _met(plan: Plan, counts: Cells, b: pa.RecordBatch, bands: range | None = None) -> tuple[list, list]:
     """The entries that each larger set has to meet, by the cheapest tolerances that the pigeonhole principle allows."""
     cost = lambda k: decoded(counts.of(k))
     _, _, _, size = _read(b)
     keys, recs = [], []
-    for i, pick, c in _members(plan, b, False):
+    for i, pick, c in _members(plan, b, False, bands):
         need = plan.most_apart(size[pick], int(plan.edges[i + 1]) - 1) + 1
         one = cost(c.full) + 1
         two = one + cost(c.gone) + 1 + np.bincount(c.at, cost(c.less_full) + 1, minlength=c.n * c.m)
@@ -172,43 +198,65 @@ def _probe_keys(plan: Plan, counts, b: pa.RecordBatch) -> np.ndarray:
     return keys[counts.value.of(keys) > 0]
 
 
-def _probe(plan: Plan, counts, b: pa.RecordBatch) -> pa.Table | None:
-    return _rows(*_met(plan, counts.value, b), b, counts.value)
+def _probe(plan: Plan, counts, of: tuple[range, int, int], b: pa.RecordBatch) -> pa.Table | None:
+    return _rows(*_met(plan, counts.value, b, of[0]), b, counts.value, *of[1:])
+
+
+def _ends(b: pa.RecordBatch) -> np.ndarray:
+    return mix(np.concatenate([b.column(c).to_numpy() for c in ("a", "b")]).view(np.uint64))
+
+
+def _asked(cells, b: pa.RecordBatch) -> pa.RecordBatch:
+    return b.filter(pa.array(cells.value.of(mix(b.column("id").to_numpy().view(np.uint64))) > 0))
 
 
 def _classes(texts: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
     """texts(field INT, key BIGINT, text) -> members(field, key, id) and sets(field, id, toks), one set per class of equal sets."""
     t = spread(texts.where("text is not null and key is not null"))
-    return classes(t.select("field", "key", bigram_set(F.col("text"), least_words).alias("toks")))
+    return classes(t.select("field", "key", bigram_set(F.col("text"), least_words).alias("toks")), twice=True)
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int | None = None) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int | None = None, most_slices: int = 6, least_values: int = 1_000_000) -> DataFrame:
     """sets(field INT, id BIGINT unique, toks distinct non-empty ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common).
 
     sets is read several times: pass a written table, as classes() gives it. a is the smaller set, or has the smaller id.
+    Entries are made, met and deleted in up to `most_slices` slices of at least some `least_values` values, so that disk holds a slice of them.
     """
     spark = sets.sparkSession
-    longest, values = sets.agg(F.max(F.size("toks")), F.sum(F.size("toks"))).first()
+    values = {x["n"]: x["n"] * x["sets"] for x in sets.groupBy(F.size("toks").alias("n")).agg(F.count("*").alias("sets")).toLocalIterator()}
     schema = "sig long, id long, n int, " + ", ".join(f"b{i} long" for i in range(_LONGS))
-    if longest is None:
+    if not values:
         return spark.createDataFrame([], "field int, a long, b long, n_a int, n_b int, common int")
-    plan = Plan(threshold, longest)
+    plan, total = Plan(threshold, max(values)), sum(values.values())
     src = spread(sets)
-    bits = count_bits or cells_for(2 * values)
+    bits = count_bits or cells_for(2 * total)
     counts = spark.sparkContext.broadcast(hashed_counts(src, partial(_index_keys, plan), bits))
     probes = spark.sparkContext.broadcast(hashed_counts(src, partial(_probe_keys, plan, counts), bits))
-    small = map_arrow(src, partial(_index, plan, probes), schema)
-    large = map_arrow(src, partial(_probe, plan, counts), schema)
-    x, y = small.alias("x"), large.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(_LONGS)), F.lit(0))
-    near = (
-        x.join(y.hint("shuffle_merge"), F.col("x.sig") == F.col("y.sig"))
-        .where(f"(x.n < y.n or (x.n = y.n and x.id < y.id)) and x.n >= {threshold} * y.n - 1e-9")
-        .where(apart <= plan.c * (F.col("x.n") + F.col("y.n")) + 1e-9)
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    )
-    left = sets.select("field", F.col("id").alias("a"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
+    out, parted = None, False
+    for of in plan.slices(values, int(np.clip(total // least_values, 1, most_slices))):
+        part = src.where(F.size("toks").between(*plan.reach(of[0])))
+        x, y = map_arrow(part, partial(_index, plan, probes, of), schema).alias("x"), map_arrow(part, partial(_probe, plan, counts, of), schema).alias("y")
+        apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(_LONGS)), F.lit(0))
+        near = (
+            x.join(y.hint("shuffle_merge"), F.col("x.sig") == F.col("y.sig"))
+            .where(f"(x.n < y.n or (x.n = y.n and x.id < y.id)) and x.n >= {threshold} * y.n - 1e-9")
+            .where(apart <= plan.c * (F.col("x.n") + F.col("y.n")) + 1e-9)
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        )
+        near = stage(near, "candidates")
+        links = stage(_verified(near, part, threshold), "links")
+        discard(near)
+        out, parted = links if out is None else out.unionByName(links), parted or of[2] > 1
+    return out.distinct() if parted else out  # a pair may be met in several parts of a band
+
+
+def _verified(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The candidates (a, b) that are similar; sets that are in none of them are not shuffled."""
+    n = near.count()
+    cells = near.sparkSession.sparkContext.broadcast(hashed_counts(near, _ends, cells_for(2 * n)))
+    some = map_arrow(sets.select("field", "id", "toks"), partial(_asked, cells), "field int, id long, toks array<long>")
+    left = some.select("field", F.col("id").alias("a"), F.col("toks").alias("ta"))
+    right = some.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
     full = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     full = full.select("field", "a", "b", F.size("ta").alias("n_a"), F.size("tb").alias("n_b"), "common")
     return full.where(F.col("common") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("common")) - 1e-9)

@@ -103,6 +103,38 @@ def test_similar_sets_find_all(spark, seed):
     assert len(got) == len(set(got)) and set(got) == brute_sets(rows, 0.7, 5)
 
 
+def test_near_duplicates_in_slices_hold_one_on_disk(spark, monkeypatch):
+    import os
+
+    from spanloom.runtime import stage, work_dir
+
+    rng = np.random.default_rng(4)
+    base = [rng.integers(1, 1 << 60, n) for n in rng.integers(3, 60, 30)]
+    sets = [tuple(x[rng.random(len(x)) < 0.9]) for x in base for _ in range(6)]
+    rows = [(0, i, [int(v) for v in x]) for i, x in enumerate(sorted({x for x in sets if len(x)}))]
+    df = stage(spark.createDataFrame(rows, "field int, id long, toks array<long>"), "sets")
+    want = {(a, b) for a, _, x in ((i, 0, set(v)) for _, i, v in rows) for b, y in ((i, set(v)) for _, i, v in rows) if a < b and len(x & y) >= 0.6 * len(x | y) - 1e-9}
+    there = lambda: sorted(n.split("-")[0] for n in os.listdir(work_dir(spark).removeprefix("file://")) if n.startswith(("candidates", "links")))
+    for most in (1, 8):
+        before, asked, made = there(), [], N.map_arrow
+        monkeypatch.setattr(N, "map_arrow", lambda d, f, schema: (asked.append(f), made(d, f, schema))[1])
+        got = N.similar_sets(df, 0.6, most_slices=most, least_values=1).select("a", "b").collect()
+        monkeypatch.undo()
+        slices = sum(f.func is N._index for f in asked)
+        assert (slices == 1 if most == 1 else 4 <= slices <= 12) and there() == sorted([*before, *["links"] * slices])
+        assert sorted((min(g), max(g)) for g in got) == sorted(want) and len(want) > 100
+
+
+def test_slices_cover_each_entry_once():
+    plan = N.Plan(0.6, 500)
+    for values in ({3: 5}, {n: 10 * n for n in range(1, 500)}, {n: 1 + 10**6 * (n == 40) for n in range(1, 500)}):
+        out = plan.slices(values, 8)
+        held = sorted((i, k, n) for bands, k, n in out for i in bands)
+        assert {i for i, _, _ in held} >= set(plan.band(np.array(list(values)))) and len(set(held)) == len(held) and len(out) <= 16
+        assert all(sorted(k for b, k, _ in held if b == i) == list(range(n)) for i, _, n in held)
+        assert all(max(plan.edges[i] for i in b) <= plan.reach(b)[1] for b, _, _ in out)
+
+
 def test_similar_sets_of_nothing(spark):
     assert P.similar_pairs(spark.createDataFrame([], ITEMS), 0.7).count() == 0
     assert P.similar_pairs(spark.createDataFrame([(0, 1, None), (0, 2, [])], ITEMS), 0.7).count() == 0
