@@ -216,7 +216,7 @@ def _classes(texts: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
     return classes(t.select("field", "key", bigram_set(F.col("text"), least_words).alias("toks")), twice=True)
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int | None = None, most_slices: int = 6, least_values: int = 1_000_000) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = 0.8, count_bits: int | None = None, most_slices: int = 16, least_values: int = 1_500_000) -> DataFrame:
     """sets(field INT, id BIGINT unique, toks distinct non-empty ARRAY<BIGINT>) -> (field, a, b, n_a, n_b, common).
 
     sets is read several times: pass a written table, as classes() gives it. a is the smaller set, or has the smaller id.
